@@ -48,8 +48,8 @@ def apportion(weights: list[float], seats: int, limits: list[int]) -> list[int]:
     if total <= 0 or seats <= 0:
         return [0] * len(w)
     cap = np.asarray(limits, np.int64)
-    # no party can end below its share less a few seats when seats are rounded: start there, then award
-    got = np.minimum(np.maximum(np.floor(w * seats / total) - 1, 0).astype(np.int64), cap)
+    # a party gets round(w / d) for a divisor d <= total / (seats - parties / 2): start there, then award
+    got = np.minimum(np.maximum(np.floor(w * max(0.0, seats - len(w) / 2) / total - 0.5), 0).astype(np.int64), cap)
     over = int(got.sum()) - seats
     while over > 0:  # only by rounding of floats
         i = int(np.argmin(np.where(got > 0, w / np.maximum(2 * got - 1, 1), np.inf)))
