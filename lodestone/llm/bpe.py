@@ -14,9 +14,8 @@ state has an arc follows from the cuts made in it before that arc was born. The
 compiled table keeps these cuts; ``has_arc`` answers from them and remembers.
 
 A string has exactly one accepted token sequence, and each of its prefixes too,
-so encoding a word is a left-to-right walk: at each symbol the one token that
-ends there and whose arc the state before it has. Decoding emits the labels of
-the arcs.
+so encoding a word is a left-to-right walk over arcs whose labels spell it.
+Decoding emits the labels of the arcs.
 
 Null text is the empty text: 0 tokens and the digests of empty strings. Long
 texts are encoded whole; repeated rows give repeated rows; an empty table gives
@@ -40,7 +39,7 @@ from pyspark.sql import functions as F
 WORD_END = "</w>"
 NEVER = 1 << 60
 #: Words whose encoding a worker remembers, and arcs it remembers; both are dropped when full.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 500_000
 CACHE_ARCS = 1_000_000
 
 
@@ -72,7 +71,10 @@ class MergeAutomaton:
         self.cuts: list[dict[int, int]] = [{} for _ in range(size)]  # cuts[u][v]: gadget that cut v after u
         for k, (u, v) in enumerate(merges):
             self.gadget(k, vocab[u], vocab[v], vocab[u + v])
-        self.longest = max((len(t) for t in vocab), default=1)
+        self.reach: dict[str, int] = {}  # symbols of the longest token, by its first two
+        for t in vocab:
+            plain = t.removesuffix(WORD_END)
+            self.reach[plain[:2]] = max(len(plain), self.reach.get(plain[:2], 1))
         self.arcs: dict[int, bool] = {}
         self.size = size
 
@@ -104,32 +106,45 @@ class MergeAutomaton:
             until, state = self.born[state], self.owner[state]
         return True
 
-    def encode(self, symbols: list[str]) -> list[int]:
-        """Tokens of one word, given as base symbols (the last with the word end)."""
-        n = len(symbols)
-        whole = "".join(symbols)
-        got = self.ids.get(whole)
-        if got is not None:
-            return [got]
-        at = [0]
-        for s in symbols:
-            at.append(at[-1] + len(s))
-        last, ids = [-1] * (n + 1), self.ids
-        for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = ids.get(whole[at[start] : at[end]])
-                if token is not None and (start == 0 or (last[start] >= 0 and self.has_arc(last[start], token))):
-                    last[end] = token
+    def encode(self, symbols: str) -> list[int]:
+        """Tokens of one word, given as its base symbols; the last one takes the word end.
+
+        Walks the arcs depth first, longest label first. A (state, place) from which
+        the end wasn't reached is never entered again, so the walk is linear in
+        the arcs it looks at; the accepted path is unique.
+        """
+        ids, n, has_arc = self.ids, len(symbols), self.has_arc
+        whole = ids.get(symbols + WORD_END)
+        if whole is not None:
+            return [whole]
+        path: list[int] = []
+        ends: list[int] = []
+        tried: list[int] = []  # next end to try at each depth
+        dead: set[tuple[int, int]] = set()
+        at, state, end = 0, -1, min(n, self.reach.get(symbols[:2], 1))
+        while True:
+            token = None
+            while end > at:
+                token = ids.get(symbols[at:end] if end < n else symbols[at:] + WORD_END)
+                if token is not None and (state < 0 or has_arc(state, token)) and (end == n or (token, end) not in dead):
                     break
-        out, end = [], n
-        while end:
-            token = last[end]
-            out.append(token)
-            label, width = len(self.labels[token]), end
-            while at[width] != at[end] - label:
-                width -= 1
-            end = width
-        return out[::-1]
+                token = None
+                end -= 1
+            if token is None:
+                dead.add((state, at))
+                state_was = path.pop()
+                end = tried.pop()
+                ends.pop()
+                at, state = (ends[-1], path[-1]) if ends else (0, -1)
+                assert state_was >= 0
+                continue
+            path.append(token)
+            if end == n:
+                return path
+            ends.append(end)
+            tried.append(end - 1)
+            at, state = end, token
+            end = min(n, at + self.reach.get(symbols[at : at + 2], 1))
 
 
 class WordTokenizer:
@@ -154,12 +169,12 @@ class WordTokenizer:
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.symbols = byte_symbols()
         self.words: dict[str, bytes] = {}
+        self.packed = [i.to_bytes(4, "little") for i in range(self.automaton.size)]
         self.bytes_of = {s: i.to_bytes(4, "little") for s, i in self.special.items()}
 
     def word(self, w: str) -> bytes:
-        symbols = [self.symbols[b] for b in w.encode("utf-8", "replace")]
-        symbols[-1] += WORD_END
-        return b"".join(i.to_bytes(4, "little") for i in self.automaton.encode(symbols))
+        symbols = "".join(map(self.symbols.__getitem__, w.encode("utf-8", "replace")))
+        return b"".join(map(self.packed.__getitem__, self.automaton.encode(symbols)))
 
     def pieces(self, text: str) -> list[bytes]:
         if not text.isascii():
