@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, chat_format, kd_search, langid, mixing, ngram_join, secret_scan
+from lodestone.llm import bpe, chat_format, html_extract, kd_search, langid, mixing, ngram_join, secret_scan
 from lodestone.storage import materialize
 
 TOKENIZER = "word_bpe_49k.json"
@@ -100,3 +100,8 @@ p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(list_transfor
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+
+@query
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read(spark, sf_dir, "pages"))
