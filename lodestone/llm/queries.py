@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, chat_format, html_extract, kd_search, langid, mixing, ngram_join, secret_scan
+from lodestone.llm import bpe, chat_format, html_extract, kd_search, langid, license_scan, media, mixing, ngram_join, secret_scan
 from lodestone.storage import materialize
 
 TOKENIZER = "word_bpe_49k.json"
@@ -105,3 +105,17 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 @query
 def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(read(spark, sf_dir, "pages"))
+
+
+@query
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, folder = media.store(read(spark, sf_dir, "documents"))
+    return media.read_columns(rows, folder)
+
+
+@query
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf_dir, "documents"))
+
+
+ORACLE["op8_license_scan"] = license_scan.oracle()
