@@ -22,8 +22,8 @@ vertex, so copies are never expanded into pairs.
 Steps 2 and 3 lose no link: if J(A, B) >= t, the first |A| - ceil(t|A|) + 1 tokens
 of A and of B in one global order have a token in common. The order is (how
 common, hash), so passages that many documents share come last and don't make
-candidates. Token buckets get at most one block from each block of documents,
-and a token that stands in ``HOT_LOCAL`` sets of one block is sent as a single
+candidates; sizes that rule a link out don't either. Token buckets get at most
+one row from each block of documents, and a token that stands in ``HOT_LOCAL`` sets of one block is sent as a single
 flag, so no frequent token gathers its documents anywhere.
 
 Words: ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. With fewer words than
@@ -31,8 +31,9 @@ Words: ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. With fewer words than
 have empty sets: size 0, linked with nothing, their own component. Rows with the
 same id are separate rows of one document; a null id is treated like any value
 (it sorts first and so names its component). Empty tables give empty results;
-other columns are ignored. Sets are told apart by 64 hash bits and the set size,
-tokens by the top bits of 64-bit hashes (40 and the bucket's).
+other columns are ignored. Sets are told apart by 64 hash bits and the set size
+(by 32 bits where a token is asked for a second set), tokens by the top bits of
+64-bit hashes (40 and the bucket's).
 """
 
 from __future__ import annotations
@@ -131,7 +132,7 @@ def runs(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Buckets:
-    """Ranges of the hash space, one a token bucket; also buckets of signatures."""
+    """Ranges of the hash space, one a token bucket."""
 
     def __init__(self, count: int):
         self.count = count
@@ -142,42 +143,43 @@ class Buckets:
     def low(self, b: int) -> np.uint64:
         return self.edges[b]
 
-    def of(self, sigs: np.ndarray) -> np.ndarray:
-        return (mix(sigs) % U(self.count)).astype(np.int64)
-
 
 def ranked(bucket: int, edges: Buckets, inside: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Tokens as they are ordered and compared from here on: class, then hash."""
     return (classes.astype(U) << U(60)) | ((edges.low(bucket) + (inside << edges.shift)) >> U(4))
 
 
-FOUND = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
+#: kind 0: tokens of a block for a token bucket; 1: shared tokens of a block; 2: the sets of a block.
+FOUND = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("block", pa.int64()), ("tokens_of", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
+FOUND_SQL = "kind int, bucket long, block long, tokens_of long, a binary, b binary, c binary, d binary"
+
+
+def home(block: int, by: Buckets) -> int:
+    return block % by.count
 
 
-def shared_rows(by: Buckets, sigs: np.ndarray, sizes: np.ndarray, tokens: np.ndarray) -> Iterator[tuple]:
-    """(signature, size, token) triples as rows of the buckets of signatures."""
-    where = by.of(sigs)
-    order = np.lexsort((tokens, sigs, where))
-    sigs, sizes, tokens, where = sigs[order], sizes[order], tokens[order], where[order]
-    starts, lengths = runs(where)
-    for s, n in zip(starts, lengths):
-        own = slice(s, s + n)
-        first, count = runs(sigs[own])
-        yield (1, int(where[s]), planes(sigs[own][first]), planes(sizes[own][first].astype(np.uint32)), planes(count.astype(np.uint32)), planes(tokens[own]))
+def shared_row(by: Buckets, block: int, bucket: int, refs: np.ndarray, inside: np.ndarray, classes: np.ndarray) -> tuple:
+    """Shared tokens of one block and token bucket, by document."""
+    order = np.lexsort((inside, refs))
+    refs, inside, classes = refs[order], inside[order], classes[order]
+    first, count = runs(refs)
+    return (1, home(block, by), block, bucket, planes(refs[first]), planes(count.astype(np.uint32)), planes(inside), planes(classes.astype(np.uint8)))
 
 
 def block_rows(by: Buckets, sets: list[np.ndarray], sigs: list[int]) -> list[tuple]:
-    """The rows that one block of documents sends."""
+    """The rows that one block of documents sends. A block is named by its content."""
     if not sets:
         return []
     sizes = np.array([len(s) for s in sets], np.int64)
     sig = np.array(sigs, U)
+    block = signature(sig) >> 1
     tokens, ref = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
     order = np.argsort(tokens, kind="stable")
     tokens, ref = tokens[order], ref[order]
-    starts, lengths = runs(tokens)
+    _, lengths = runs(tokens)
     hot = np.repeat(lengths >= HOT_LOCAL, lengths)
-    rows, hot_sig, hot_size, hot_token = [], [], [], []
+    prints = (sig & U(0xFFFFFFFF)).astype(np.uint32)
+    rows = [(2, home(block, by), block, -1, planes(sig), planes(sizes.astype(np.uint32)), b"", b"")]
     cut = np.append(np.searchsorted(tokens, by.edges), len(tokens))
     for b in range(by.count):
         own = slice(cut[b], cut[b + 1])
@@ -185,15 +187,9 @@ def block_rows(by: Buckets, sets: list[np.ndarray], sigs: list[int]) -> list[tup
             continue
         inside, r, h = (tokens[own] - by.low(b)) >> by.shift, ref[own], hot[own]
         used, local = np.unique(r[~h], return_inverse=True)
-        t = inside[~h]
-        flags = np.unique(inside[h])
-        rows.append((0, b, packed(t), planes(local.astype(np.uint16)), planes(np.concatenate([sig[used], sizes[used].astype(U)])), packed(flags)))
-        if len(flags):
-            hot_sig.append(sig[r[h]])
-            hot_size.append(sizes[r[h]])
-            hot_token.append(ranked(b, by, inside[h], np.full(int(h.sum()), HOT_CLASS)))
-    if hot_sig:
-        rows += shared_rows(by, np.concatenate(hot_sig), np.concatenate(hot_size), np.concatenate(hot_token))
+        rows.append((0, b, block, b, packed(inside[~h]), planes(local.astype(np.uint16)), planes(used) + planes(prints[used]), packed(np.unique(inside[h]))))
+        if h.any():
+            rows.append(shared_row(by, block, b, r[h], inside[h], np.full(int(h.sum()), HOT_CLASS)))
     return rows
 
 
@@ -237,72 +233,84 @@ def blocks_of(docs: DataFrame, width: int, by: Buckets) -> DataFrame:
         if rows := block_rows(by, sets, sigs):
             yield table(rows, FOUND)
 
-    return docs.select("text").mapInArrow(run, "kind int, bucket long, a binary, b binary, c binary, d binary")
+    return docs.select("text").mapInArrow(run, FOUND_SQL)
 
 
 def shared_of(blocks: DataFrame, by: Buckets) -> DataFrame:
-    """Triples of the tokens that stand in two different sets, by bucket of signatures."""
+    """The tokens that stand in two different sets, sent back to their blocks."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        if key[0].as_py() == 1:  # known since the block of documents
+        if key[0].as_py():  # known since the block of documents
             return rows
         bucket = key[1].as_py()
-        t, sig, size, hot = [], [], [], [np.zeros(0, U)]
-        for a, b, c, d in zip(*(rows.column(x).to_pylist() for x in "abcd")):
-            local, held = unplanes(b, np.uint16), unplanes(c, U)
+        t, of, ref, mark, hot, names = [], [], [], [], [np.zeros(0, U)], []
+        for block, a, b, c, d in zip(*(rows.column(x).to_pylist() for x in ("block", "a", "b", "c", "d"))):
+            local, n = unplanes(b, np.uint16), len(c) // 6
             t.append(unpacked(a))
-            sig.append(held[: len(held) // 2][local])
-            size.append(held[len(held) // 2 :][local].astype(np.uint32))
+            of.append(np.full(len(local), len(names), np.uint32))
+            ref.append(unplanes(c[: 2 * n], np.uint16)[local])
+            mark.append(unplanes(c[2 * n :], np.uint32)[local])
             hot.append(unpacked(d))
-        t, sig, size, hot = np.concatenate(t), np.concatenate(sig), np.concatenate(size), np.unique(np.concatenate(hot))
-        order = np.argsort(t, kind="stable")
-        t, sig, size = t[order], sig[order], size[order]
+            names.append(block)
+        t, of, ref, mark, hot = np.concatenate(t), np.concatenate(of), np.concatenate(ref), np.concatenate(mark), np.unique(np.concatenate(hot))
+        out = []
         if len(t):
+            order = np.argsort(t, kind="stable")
+            t, of, ref, mark = t[order], of[order], ref[order], mark[order]
             starts, lengths = runs(t)
             very = np.isin(t[starts], hot)
-            many = very | (np.minimum.reduceat(sig, starts) != np.maximum.reduceat(sig, starts))
+            many = very | (np.minimum.reduceat(mark, starts) != np.maximum.reduceat(mark, starts))
             classes = np.where(very, HOT_CLASS, np.minimum(HOT_CLASS - 1, np.log2(lengths).astype(np.int64)))
             keep = np.repeat(many, lengths)
-            out = list(shared_rows(by, sig[keep], size[keep], ranked(bucket, by, t[keep], np.repeat(classes, lengths)[keep]))) if keep.any() else []
-        else:
-            out = []
+            t, of, ref, classes = t[keep], of[keep], ref[keep], np.repeat(classes, lengths)[keep]
+            order = np.argsort(of, kind="stable")
+            t, of, ref, classes = t[order], of[order], ref[order], classes[order]
+            for s, n in zip(*runs(of)):
+                own = slice(s, s + n)
+                out.append(shared_row(by, names[of[s]], bucket, ref[own], t[own], classes[own]))
         return pa.Table.from_batches([table(out, FOUND)])
 
-    return blocks.groupBy("kind", "bucket").applyInArrow(run, "kind int, bucket long, a binary, b binary, c binary, d binary")
+    return blocks.groupBy("kind", "bucket").applyInArrow(run, FOUND_SQL)
 
 
 SETS = pa.schema([("sig", pa.int64()), ("n", pa.int64()), ("g", pa.int64()), ("s", pa.binary())])
 
 
-def survivors_of(shared: DataFrame, percent: int) -> DataFrame:
-    """(sig, n, g, s): sets that may have a link, with their shared tokens in order and minimum hash."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        sig, size, tok = [], [], []
-        for a, b, c, d in zip(*(rows.column(x).to_pylist() for x in "abcd")):
-            count = unplanes(c, np.uint32)
-            sig.append(np.repeat(unplanes(a, U), count))
-            size.append(np.repeat(unplanes(b, np.uint32), count))
-            tok.append(unplanes(d, U))
-        sig, size, tok = np.concatenate(sig), np.concatenate(size).astype(np.int64), np.concatenate(tok)
-        # sets told apart by signature and size; first drop those with too few rows, then sort the rest
-        order = np.lexsort((tok, size, sig))
-        sig, size, tok = sig[order], size[order], tok[order]
-        new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (size[1:] != size[:-1]) | (tok[1:] != tok[:-1])])
-        sig, size, tok = sig[new], size[new], tok[new]
-        first = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (size[1:] != size[:-1])]))
-        count = np.diff(np.append(first, len(sig)))
-        low = np.minimum.reduceat(mix(tok), first)
-        good = np.flatnonzero(count >= needed(size[first], percent))
+def survivors_of(shared: DataFrame, by: Buckets, percent: int) -> DataFrame:
+    """(sig, n, g, s): sets that may have a link, with their shared tokens in order and minimum hash.
+
+    A set that stands in several blocks comes once from each, with the same tokens.
+    """
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        sets, ref, tok = None, [np.zeros(0, np.uint16)], [np.zeros(0, U)]
+        for kind, of, a, b, c, d in zip(*(rows.column(x).to_pylist() for x in ("kind", "tokens_of", "a", "b", "c", "d"))):
+            if kind == 2:
+                sets = unplanes(a, U), unplanes(b, np.uint32).astype(np.int64)
+            else:
+                ref.append(np.repeat(unplanes(a, np.uint16), unplanes(b, np.uint32)))
+                tok.append(ranked(of, by, unplanes(c, U), unplanes(d, np.uint8)))
+        if sets is None:
+            raise RuntimeError("a block of documents came out otherwise when it was read again")
+        ref, tok = np.concatenate(ref), np.concatenate(tok)
+        order = np.lexsort((tok, ref))
+        ref, tok = ref[order], tok[order]
+        if len(ref):  # hot in this block and in the bucket: told twice
+            new = np.concatenate([[True], (ref[1:] != ref[:-1]) | (tok[1:] != tok[:-1])])
+            ref, tok = ref[new], tok[new]
+        first, count = runs(ref)
+        sig, size = sets[0][ref[first]], sets[1][ref[first]]
+        low = np.minimum.reduceat(mix(tok), first) if len(first) else tok
+        good = np.flatnonzero(count >= needed(size, percent))
         cols = [
-            pa.array((sig[first[good]] ^ U(1 << 63)).view(np.int64)),
-            pa.array(size[first[good]]),
+            pa.array((sig[good] ^ U(1 << 63)).view(np.int64)),
+            pa.array(size[good]),
             pa.array(low[good].view(np.int64)),
             pa.array([tok[first[i] : first[i] + count[i]].tobytes() for i in good], pa.binary()),
         ]
         return pa.Table.from_arrays(cols, schema=SETS)
 
-    return shared.groupBy("bucket").applyInArrow(run, "sig long, n long, g long, s binary")
+    return shared.groupBy("bucket", "block").applyInArrow(run, "sig long, n long, g long, s binary")
 
 
 def similar(a: np.ndarray, na: int, b: np.ndarray, nb: int, percent: int) -> bool:
@@ -319,19 +327,25 @@ def clusters_of(sets: DataFrame, percent: int) -> DataFrame:
     """(sig, n, comp, s): each part of one minimum hash clustered around leaders.
 
     ``comp`` is the signature of a set that the row is linked with, by a chain of
-    exact links. Memory: one chunk's leaders, whatever the size of the part.
+    exact links. Smaller sets come first: of sets that have the same shared tokens,
+    the smallest links with all that link with any. Memory: one chunk's leaders,
+    whatever the size of the part.
     """
     counts = sets.groupBy("g").agg(F.count("*").alias("c")).where(F.col("c") > CHUNK)
     cut = sets.join(counts, "g", "left").withColumn("part", F.expr(f"pmod(xxhash64(sig, n), cast(ceil(coalesce(c, 1) / {CHUNK}D) as bigint))"))
-    cut = cut.repartition("g", "part").sortWithinPartitions("g", "part", "sig", "n").select("g", "part", "sig", "n", "s")
+    cut = cut.repartition("g", "part").sortWithinPartitions("g", "part", "n", "sig").select("g", "part", "sig", "n", "s")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, leaders = None, []
+        at, leaders, before = None, [], None
         for batch in batches:
-            comp = []
-            for g, part, sig, n, s in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            comp, kept = [], []
+            for j, (g, part, sig, n, s) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(5)))):
                 if (g, part) != at:
                     at, leaders = (g, part), []
+                if (sig, n) == before:  # the same set from another block
+                    continue
+                before = (sig, n)
+                kept.append(j)
                 tokens = np.frombuffer(s, U)
                 for i, (other, m, own) in enumerate(leaders):
                     if similar(tokens, n, other, m, percent):
@@ -343,30 +357,40 @@ def clusters_of(sets: DataFrame, percent: int) -> DataFrame:
                     comp.append(sig)
                     leaders.insert(0, (tokens, n, sig))
                     del leaders[LEADERS:]
+            batch = batch.take(pa.array(kept, pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), pa.array(comp, pa.int64()), batch.column(4)], ["sig", "n", "comp", "s"])
 
     return cut.mapInArrow(run, "sig long, n long, comp long, s binary")
 
 
 def prefixes_of(members: DataFrame, percent: int) -> DataFrame:
-    """Distinct (token, comp) over the prefixes of the members."""
+    """(token, comp, small, large) over the prefixes of the members.
+
+    ``small`` is the least size of a member with this token in its prefix, ``large`` the
+    most that a partner's size can be: an overlap is at most the member's shared tokens.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tok, comp = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+            tok, comp, size, most = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for n, c, s in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 tokens = np.frombuffer(s, U)
                 head = tokens[: max(0, len(tokens) - needed(n, percent) + 1)]
                 tok.append(head)
                 comp.append(np.full(len(head), c, np.int64))
-            tok, comp = np.concatenate(tok), np.concatenate(comp)
+                size.append(np.full(len(head), n, np.int64))
+                most.append(np.full(len(head), len(tokens) * (100 + percent) // percent - n, np.int64))
+            tok, comp, size, most = (np.concatenate(x) for x in (tok, comp, size, most))
+            if not len(tok):
+                continue
             order = np.lexsort((comp, tok))
-            tok, comp = tok[order], comp[order]
-            new = np.ones(len(tok), bool)
-            new[1:] = (tok[1:] != tok[:-1]) | (comp[1:] != comp[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(tok[new].view(np.int64)), pa.array(comp[new])], ["token", "comp"])
+            tok, comp, size, most = (x[order] for x in (tok, comp, size, most))
+            first = np.flatnonzero(np.concatenate([[True], (tok[1:] != tok[:-1]) | (comp[1:] != comp[:-1])]))
+            cols = [tok[first].view(np.int64), comp[first], np.minimum.reduceat(size, first), np.maximum.reduceat(most, first)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["token", "comp", "small", "large"])
 
-    return members.select("n", "comp", "s").mapInArrow(run, "token long, comp long").distinct()
+    heads = members.select("n", "comp", "s").mapInArrow(run, "token long, comp long, small long, large long")
+    return heads.groupBy("token", "comp").agg(F.min("small").alias("small"), F.max("large").alias("large"))
 
 
 def opened(rows: DataFrame, percent: int) -> DataFrame:
@@ -400,7 +424,7 @@ def cluster_links(members: DataFrame, percent: int) -> DataFrame:
     common = heads.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     lists = heads.join(common, "token")
     size = members.groupBy("comp").agg(F.count("*").alias("size"))
-    pairs = lists.alias("x").join(lists.alias("y"), F.expr("x.token = y.token and x.comp < y.comp")).select(F.col("x.comp").alias("x"), F.col("y.comp").alias("y")).distinct()
+    pairs = lists.alias("x").join(lists.alias("y"), F.expr("x.token = y.token and x.comp < y.comp and x.small <= y.large and y.small <= x.large")).select(F.col("x.comp").alias("x"), F.col("y.comp").alias("y")).distinct()
     pairs = pairs.join(size.select(F.col("comp").alias("x"), F.col("size").alias("nx")), "x").join(size.select(F.col("comp").alias("y"), F.col("size").alias("ny")), "y")
     big = F.col("nx") > F.col("ny")
     # the smaller cluster's members are the queries; the larger is held in groups of bounded size
@@ -434,7 +458,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sized = materialize(sizes_of(slim, width), "jaccard-sizes")
     total = sized.agg(F.sum("n")).first()[0] or 0
     by = Buckets(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_TOKENS)))
-    sets = materialize(survivors_of(shared_of(blocks_of(slim, width, by), by), percent), "jaccard-sets")
+    sets = materialize(survivors_of(shared_of(blocks_of(slim, width, by), by), by, percent), "jaccard-sets")
     members = materialize(clusters_of(sets, percent), "jaccard-members")
     links = materialize(cluster_links(members, percent), "jaccard-links")
     found = connected_components(links).withColumnRenamed("node", "comp")
