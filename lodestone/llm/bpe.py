@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 WORD_END = "</w>"
 NEVER = 1 << 60
 #: Words whose encoding a worker remembers, and arcs it remembers; both are dropped when full.
-CACHE_WORDS = 500_000
-CACHE_ARCS = 1_000_000
+CACHE_WORDS = 300_000
+CACHE_ARCS = 300_000
 
 
 def byte_symbols() -> list[str]:

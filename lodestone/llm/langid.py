@@ -35,8 +35,8 @@ WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 BUCKETS = 1 << 16
 WINDOW = 16
-CACHE_WORDS = 200_000
-GROUP_CELLS = 160_000
+CACHE_WORDS = 150_000
+GROUP_CELLS, SLICE = 160_000, 1024  # words of texts that run together; texts labelled at once
 
 
 def features(word: str) -> list[int]:
@@ -125,14 +125,13 @@ class Chain:
         return [(w, dict(zip(self.languages, map(float, row)))) for w, row in zip(words, got)]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        found = [words_of(t) for t in texts]
         if not self.languages:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
-        got = self.marginals([self.word_ids(w) for w in found])
+        got = self.marginals([self.word_ids(words_of(t)) for t in texts])
         self.forget()
         langs, scores = [], []
-        for words, m in zip(found, got):
-            if not words:
+        for m in got:
+            if not len(m):
                 langs.append(UNKNOWN)
                 scores.append(0.0)
                 continue
@@ -248,8 +247,10 @@ def label(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
             _LIVE[own[0]] = Chain(*own[1:])
         model = _LIVE[own[0]]
         for batch in batches:
-            langs, scores = model.predict(batch.column(len(keep)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                langs, scores = model.predict(part.column(len(keep)).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
 
     slim = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], F.col(text_col).cast("string").alias("t"))
     kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, fields))

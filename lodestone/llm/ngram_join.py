@@ -55,7 +55,7 @@ BLOCK_TOKENS, BUCKET_TOKENS, BLOCK_DOCS = 2_000_000, 4_000_000, 60_000
 HOT_LOCAL, TOKEN_BITS = 64, 40
 #: Most members of a group of the matrix, of a chunk that is clustered at once; leaders a chunk keeps.
 GROUP_MEMBERS, CHUNK, LEADERS = 256, 4000, 64
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 HOT_CLASS = 15
 
 _WORDS: dict[bytes, int] = {}
