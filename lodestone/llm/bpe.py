@@ -36,10 +36,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.worker import Memo, enter, settle
+
 WORD_END = "</w>"
 NEVER = 1 << 60
-#: Words whose encoding a worker remembers, and arcs it remembers; both are dropped when full.
-CACHE_WORDS = 300_000
+#: Words of a generation whose encoding a worker remembers, and arcs it remembers.
+CACHE_WORDS = 100_000
 CACHE_ARCS = 300_000
 
 
@@ -168,7 +170,7 @@ class WordTokenizer:
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.symbols = byte_symbols()
-        self.words: dict[str, bytes] = {}
+        self.words = Memo(self.word, CACHE_WORDS)
         self.packed = [i.to_bytes(4, "little") for i in range(self.automaton.size)]
         self.bytes_of = {s: i.to_bytes(4, "little") for s, i in self.special.items()}
 
@@ -182,15 +184,7 @@ class WordTokenizer:
                 text = unicodedata.normalize("NFC", text)
             if "Σ" in text:  # lower case letter by letter, without the rule for a final sigma
                 text = text.replace("Σ", "σ")
-        known, out = self.words, []
-        for w in self.pattern.findall(text.lower()):
-            got = known.get(w)
-            if got is None:
-                if len(known) >= CACHE_WORDS:
-                    known.clear()
-                got = known[w] = self.word(w)
-            out.append(got)
-        return out
+        return list(map(self.words.__getitem__, self.pattern.findall(text.lower())))
 
     def encode(self, text: str | None) -> bytes:
         """Ids of the whole text as little-endian unsigned 32-bit integers."""
@@ -245,6 +239,7 @@ def encode_decode(
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("bpe", _LOADED.clear)
         tok = _tokenizer(held)
         for batch in batches:
             n, ids_sha, text_sha, ids_out, text_out = [], [], [], [], []
@@ -267,6 +262,7 @@ def encode_decode(
                 cols.append(pa.array(text_out, pa.string()))
                 names.append("decoded")
             yield pa.RecordBatch.from_arrays(cols, names)
+        settle()
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     out = slim.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}")

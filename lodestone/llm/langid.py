@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -31,21 +32,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.llm.worker import enter, settle
+
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 BUCKETS = 1 << 16
 WINDOW = 16
-CACHE_WORDS = 150_000
-GROUP_CELLS, SLICE = 160_000, 1024  # words of texts that run together; texts labelled at once
+CACHE_WORDS = 120_000
+GROUP_CELLS, SLICE = 250_000, 4096  # words of texts that run together; texts labelled at once
 
 
 def features(word: str) -> list[int]:
-    """Hashed features of a lower-cased word: lexicon, affixes, n-grams."""
-    names = ["w" + word]
-    names += ["p" + word[:k] for k in (1, 2, 3)] + ["s" + word[-k:] for k in (1, 2, 3)]
-    edged = f"^{word}$"
-    names += [edged[i : i + k] for k in (2, 3) for i in range(len(edged) - k + 1)]
-    return [crc32(n.encode("utf-8", "replace")) & (BUCKETS - 1) for n in names]
+    """Hashed features of a lower-cased word: lexicon, affixes and n-grams of its bytes."""
+    w = word.encode("utf-8", "replace")
+    edged, n, mask = b"^" + w + b"$", len(w) + 2, BUCKETS - 1
+    out = [crc32(w, 7) & mask, crc32(w[:2], 3) & mask, crc32(w[:4], 4) & mask, crc32(w[-2:], 5) & mask, crc32(w[-4:], 6) & mask]
+    out += [crc32(edged[i : i + 2], 1) & mask for i in range(n - 1)]
+    out += [crc32(edged[i : i + 3], 2) & mask for i in range(n - 2)]
+    out += [crc32(edged[i : i + 4], 8) & mask for i in range(n - 3)]
+    return out
 
 
 def words_of(text: str | None) -> list[str]:
@@ -59,33 +64,50 @@ class Chain:
         self.languages, self.weights, self.transitions = languages, weights, transitions
         self.known: dict[str, int] = {}
         self.rows = np.zeros((1024, len(languages)), np.float32)
-
-    def word_ids(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            pass
-        for w in words:
-            if w not in known:
-                i = len(known)
-                if i == len(self.rows):
-                    self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-                f = features(w)
-                s = self.weights[f].sum(0) / np.sqrt(len(f))
-                self.rows[i] = np.exp(s - s.max())
-                known[w] = i
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        self.hits = np.zeros(1024, np.int64)
+
+    def learn(self, words: set[str]) -> None:
+        """Unary potentials of words that aren't known yet."""
+        new = [w for w in words if w not in self.known]
+        if not new:
+            return
+        feats = [features(w) for w in new]
+        count = np.fromiter(map(len, feats), np.int64, len(feats))
+        flat = np.fromiter(chain.from_iterable(feats), np.int64, int(count.sum()))
+        s = np.add.reduceat(self.weights[flat], np.concatenate([[0], count.cumsum()[:-1]])) / np.sqrt(count)[:, None]
+        at, need = len(self.known), len(self.known) + len(new)
+        if need > len(self.rows):
+            more = max(need, 2 * len(self.rows)) - len(self.rows)
+            self.rows = np.concatenate([self.rows, np.zeros((more, self.rows.shape[1]), np.float32)])
+            self.hits = np.concatenate([self.hits, np.zeros(more, np.int64)])
+        self.rows[at:need] = np.exp(s - s.max(1, keepdims=True))
+        self.known.update(zip(new, range(at, need)))
+
+    def word_ids(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Places of the words of each text in the table of unary potentials."""
+        out = []
+        for i in range(0, len(texts), 128):
+            found = [words_of(t) for t in texts[i : i + 128]]
+            self.learn(set().union(*found))
+            out += [np.fromiter(map(self.known.__getitem__, w), np.int32, len(w)) for w in found]
+        if out and self.known:
+            self.hits[: len(self.known)] += np.bincount(np.concatenate(out), minlength=len(self.known))
+        return out
 
     def forget(self) -> None:
+        """When too many words are known, those seen once are forgotten, and if need be all."""
         if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-
-    def marginals(self, ids: list[np.ndarray]) -> list[np.ndarray]:
-        """Label marginals of every word of each sequence, by forward-backward."""
+            kept = [w for w, i in self.known.items() if self.hits[i] > 1]
+            kept = kept if len(kept) < CACHE_WORDS // 2 else []
+            old = np.array([self.known[w] for w in kept], np.int64)
+            self.rows[: len(kept)] = self.rows[old]
+            self.hits[:] = 0
+            self.known = {w: i for i, w in enumerate(kept)}
+
+    def _groups(self, ids: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+        """Sequences of like lengths together: (which, lengths, marginals by step, sequence, label)."""
         k, move = len(self.languages), np.exp(self.transitions - self.transitions.max()).astype(np.float32)
-        order = sorted(range(len(ids)), key=lambda i: len(ids[i]))
-        out: list[np.ndarray] = [np.zeros((0, k), np.float32)] * len(ids)
+        order = sorted((i for i in range(len(ids)) if len(ids[i])), key=lambda i: len(ids[i]))
         at = 0
         while at < len(order):
             to = at + 1
@@ -95,8 +117,6 @@ class Chain:
             at = to
             n = np.array([len(ids[i]) for i in group])
             steps = int(n.max())
-            if steps == 0:
-                continue
             unary = np.ones((steps, len(group), k), np.float32)
             for j, i in enumerate(group):
                 unary[: n[j], j] = self.rows[ids[i]]
@@ -108,37 +128,40 @@ class Chain:
                 a = a / a.sum(1, keepdims=True)
                 ahead[t] = a
             back = np.ones((len(group), k), np.float32)
-            for t in range(steps - 1, -1, -1):
-                if t < steps - 1:
-                    grown = (unary[t + 1] * back) @ move.T
-                    back = np.where((n > t + 1)[:, None], grown / grown.sum(1, keepdims=True), 1)
+            full = int(n.min())
+            for t in range(steps - 2, -1, -1):
+                grown = (unary[t + 1] * back) @ move.T
+                grown /= grown.sum(1, keepdims=True)
+                back = grown if t + 1 < full else np.where((n > t + 1)[:, None], grown, 1)
                 ahead[t] *= back
             ahead /= ahead.sum(2, keepdims=True)
+            yield group, n, ahead
+
+    def marginals(self, ids: list[np.ndarray]) -> list[np.ndarray]:
+        """Label marginals of every word of each sequence, by forward-backward."""
+        out: list[np.ndarray] = [np.zeros((0, len(self.languages)), np.float32)] * len(ids)
+        for group, n, found in self._groups(ids):
             for j, i in enumerate(group):
-                out[i] = ahead[: n[j], j]
+                out[i] = found[: n[j], j]
         return out
 
     def word_marginals(self, text: str | None) -> list[tuple[str, dict[str, float]]]:
         """The marginals of each word of a text, for code-switched text."""
         words = words_of(text)
-        got = self.marginals([self.word_ids(words)])[0]
+        got = self.marginals(self.word_ids([text]))[0]
         return [(w, dict(zip(self.languages, map(float, row)))) for w, row in zip(words, got)]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         if not self.languages:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
-        got = self.marginals([self.word_ids(words_of(t)) for t in texts])
+        langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        for group, n, found in self._groups(self.word_ids(texts)):
+            found[np.arange(len(found))[:, None] >= n] = 0
+            mean = found.sum(0, dtype=np.float64) / n[:, None]
+            for j, i in enumerate(group):
+                best = int(mean[j].argmax())
+                langs[i], scores[i] = self.languages[best], min(1.0, float(mean[j, best]))
         self.forget()
-        langs, scores = [], []
-        for m in got:
-            if not len(m):
-                langs.append(UNKNOWN)
-                scores.append(0.0)
-                continue
-            mean = m.mean(0, dtype=np.float64)
-            best = int(mean.argmax())
-            langs.append(self.languages[best])
-            scores.append(min(1.0, max(0.0, float(mean[best]))))
         return langs, scores
 
 
@@ -241,6 +264,7 @@ def label(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
     names = [f"c{i}" for i in range(len(keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("langid", _LIVE.clear)
         own = held.value
         if own[0] not in _LIVE:
             _LIVE.clear()
@@ -251,6 +275,7 @@ def label(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
                 part = batch.slice(at, SLICE)
                 langs, scores = model.predict(part.column(len(keep)).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
+        settle()
 
     slim = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], F.col(text_col).cast("string").alias("t"))
     kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, fields))

@@ -46,6 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.worker import Memo, enter, settle
 from lodestone.operators.graph import connected_components
 from lodestone.storage import materialize
 
@@ -53,27 +54,17 @@ from lodestone.storage import materialize
 BLOCK_TOKENS, BUCKET_TOKENS, BLOCK_DOCS = 2_000_000, 4_000_000, 60_000
 #: Sets of one block that make a token hot; bits kept of a token inside its bucket.
 HOT_LOCAL, TOKEN_BITS = 64, 40
-#: Most members of a group of the matrix, of a chunk that is clustered at once; leaders a chunk keeps.
-GROUP_MEMBERS, CHUNK, LEADERS = 256, 4000, 64
-CACHE_WORDS = 300_000
+#: Most members of a group of the matrix, sets and tokens of a chunk that is clustered at once; leaders a chunk keeps.
+GROUP_MEMBERS, CHUNK, CHUNK_TOKENS, LEADERS = 256, 4000, 2_000_000, 64
+CACHE_WORDS = 100_000
 HOT_CLASS = 15
 
-_WORDS: dict[bytes, int] = {}
+_WORDS = Memo(xxhash.xxh64_intdigest, CACHE_WORDS)
 U = np.uint64
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    known = _WORDS
-    try:
-        return np.fromiter(map(known.__getitem__, words), U, len(words))
-    except KeyError:
-        pass
-    if len(known) > CACHE_WORDS:
-        known.clear()
-    for w in words:
-        if w not in known:
-            known[w] = xxhash.xxh64_intdigest(w)
-    return np.fromiter(map(known.__getitem__, words), U, len(words))
+    return np.fromiter(map(_WORDS.__getitem__, words), U, len(words))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -202,6 +193,7 @@ def sizes_of(docs: DataFrame, width: int) -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("ngram", _WORDS.drop)
         for batch in batches:
             n, sig = [], []
             for text in batch.column(1):
@@ -209,6 +201,7 @@ def sizes_of(docs: DataFrame, width: int) -> DataFrame:
                 n.append(len(s))
                 sig.append(signature(s) - (1 << 63) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64())], ["id", "n", "sig"])
+        settle()
 
     return docs.mapInArrow(run, f"id {kind}, n long, sig long")
 
@@ -217,6 +210,7 @@ def blocks_of(docs: DataFrame, width: int, by: Buckets) -> DataFrame:
     """Blocks of tokens by bucket, from every distinct set of a block of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("ngram", _WORDS.drop)
         sets, sigs, seen, total = [], [], set(), 0
         for batch in batches:
             for text in batch.column(0):
@@ -232,6 +226,8 @@ def blocks_of(docs: DataFrame, width: int, by: Buckets) -> DataFrame:
                     sets, sigs, seen, total = [], [], set(), 0
         if rows := block_rows(by, sets, sigs):
             yield table(rows, FOUND)
+        del sets, rows
+        settle()
 
     return docs.select("text").mapInArrow(run, FOUND_SQL)
 
@@ -323,74 +319,113 @@ def similar(a: np.ndarray, na: int, b: np.ndarray, nb: int, percent: int) -> boo
     return 100 * inter >= percent * (na + nb - inter)
 
 
+def cluster_chunk(sets: list[tuple[int, np.ndarray]], percent: int) -> list[int]:
+    """For each (size, tokens) of a chunk the place of its cluster's first set.
+
+    Sets are taken in the order of their likeness to what most of the chunk share:
+    the one that the others are copies of comes first and links with them.
+    """
+    if len(sets) == 1:
+        return [0]
+    every = np.concatenate([t for _, t in sets])
+    every.sort(kind="stable")
+    first, count = runs(every)
+    core = every[first[2 * count >= len(sets)]]
+    if len(core):
+        inside = [int((core[np.minimum(np.searchsorted(core, t), len(core) - 1)] == t).sum()) for _, t in sets]
+    else:
+        inside = [0] * len(sets)
+    order = sorted(range(len(sets)), key=lambda i: (-inside[i] / (sets[i][0] + len(core) - inside[i]), i))
+    top = list(range(len(sets)))
+    leaders: list[int] = []
+    for i in order:
+        n, tokens = sets[i]
+        found = [x for x in leaders if similar(tokens, n, sets[x][1], sets[x][0], percent)]
+        if not found:
+            leaders.insert(1 if leaders else 0, i)
+            del leaders[LEADERS:]
+            continue
+        top[i] = root = find(top, found[0])
+        for x in found[1:]:
+            top[find(top, x)] = root
+    return [find(top, i) for i in range(len(sets))]
+
+
+def find(top: list[int], i: int) -> int:
+    while top[i] != i:
+        top[i] = top[top[i]]
+        i = top[i]
+    return i
+
+
 def clusters_of(sets: DataFrame, percent: int) -> DataFrame:
-    """(sig, n, comp, s): each part of one minimum hash clustered around leaders.
+    """(sig, n, comp, s): each part of one minimum hash clustered around leaders, by exact links.
 
-    ``comp`` is the signature of a set that the row is linked with, by a chain of
-    exact links. Smaller sets come first: of sets that have the same shared tokens,
-    the smallest links with all that link with any. Memory: one chunk's leaders,
-    whatever the size of the part.
+    ``comp`` is the signature of a set that the row is linked with by a chain of
+    links. Memory: one chunk of bounded size, whatever the size of the part.
     """
     counts = sets.groupBy("g").agg(F.count("*").alias("c")).where(F.col("c") > CHUNK)
     cut = sets.join(counts, "g", "left").withColumn("part", F.expr(f"pmod(xxhash64(sig, n), cast(ceil(coalesce(c, 1) / {CHUNK}D) as bigint))"))
     cut = cut.repartition("g", "part").sortWithinPartitions("g", "part", "n", "sig").select("g", "part", "sig", "n", "s")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, leaders, before = None, [], None
+        at, rows, total = None, [], 0
+
+        def done() -> pa.RecordBatch:
+            comp = cluster_chunk([(n, t) for _, n, t in rows], percent)
+            cols = pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([rows[c][0] for c in comp], pa.int64()), pa.array([r[2].tobytes() for r in rows], pa.binary())
+            return pa.RecordBatch.from_arrays(list(cols), ["sig", "n", "comp", "s"])
+
         for batch in batches:
-            comp, kept = [], []
-            for j, (g, part, sig, n, s) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(5)))):
-                if (g, part) != at:
-                    at, leaders = (g, part), []
-                if (sig, n) == before:  # the same set from another block
+            for g, part, sig, n, s in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if rows and ((g, part) != at or total > CHUNK_TOKENS):
+                    yield done()
+                    rows, total = [], 0
+                if rows and (sig, n) == (rows[-1][0], rows[-1][1]):  # the same set from another block
                     continue
-                before = (sig, n)
-                kept.append(j)
-                tokens = np.frombuffer(s, U)
-                for i, (other, m, own) in enumerate(leaders):
-                    if similar(tokens, n, other, m, percent):
-                        comp.append(own)
-                        if i:  # what matched last is looked at first
-                            leaders.insert(0, leaders.pop(i))
-                        break
-                else:
-                    comp.append(sig)
-                    leaders.insert(0, (tokens, n, sig))
-                    del leaders[LEADERS:]
-            batch = batch.take(pa.array(kept, pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), pa.array(comp, pa.int64()), batch.column(4)], ["sig", "n", "comp", "s"])
+                at = (g, part)
+                rows.append((sig, n, np.frombuffer(s, U)))
+                total += len(s) // 8
+        if rows:
+            yield done()
+        settle()
 
     return cut.mapInArrow(run, "sig long, n long, comp long, s binary")
 
 
 def prefixes_of(members: DataFrame, percent: int) -> DataFrame:
-    """(token, comp, small, large) over the prefixes of the members.
+    """(token, comp, small, large, prev) over the prefixes of the members.
 
     ``small`` is the least size of a member with this token in its prefix, ``large`` the
     most that a partner's size can be: an overlap is at most the member's shared tokens.
+    ``prev`` is the token before this one in every such member. Two clusters that
+    have it in common meet there already, so each run of common tokens, a passage
+    say, makes a pair once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tok, comp, size, most = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            tok, prev, comp, size, most = [np.zeros(0, U)], [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for n, c, s in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 tokens = np.frombuffer(s, U)
                 head = tokens[: max(0, len(tokens) - needed(n, percent) + 1)]
                 tok.append(head)
+                prev.append(np.concatenate([np.zeros(1, U), head[:-1]])[: len(head)])
                 comp.append(np.full(len(head), c, np.int64))
                 size.append(np.full(len(head), n, np.int64))
                 most.append(np.full(len(head), len(tokens) * (100 + percent) // percent - n, np.int64))
-            tok, comp, size, most = (np.concatenate(x) for x in (tok, comp, size, most))
+            tok, prev, comp, size, most = (np.concatenate(x) for x in (tok, prev, comp, size, most))
             if not len(tok):
                 continue
             order = np.lexsort((comp, tok))
-            tok, comp, size, most = (x[order] for x in (tok, comp, size, most))
+            tok, prev, comp, size, most = (x[order] for x in (tok, prev.view(np.int64), comp, size, most))
             first = np.flatnonzero(np.concatenate([[True], (tok[1:] != tok[:-1]) | (comp[1:] != comp[:-1])]))
-            cols = [tok[first].view(np.int64), comp[first], np.minimum.reduceat(size, first), np.maximum.reduceat(most, first)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["token", "comp", "small", "large"])
+            cols = [tok[first].view(np.int64), comp[first], np.minimum.reduceat(size, first), np.maximum.reduceat(most, first), np.minimum.reduceat(prev, first), np.maximum.reduceat(prev, first)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["token", "comp", "small", "large", "p0", "p1"])
 
-    heads = members.select("n", "comp", "s").mapInArrow(run, "token long, comp long, small long, large long")
-    return heads.groupBy("token", "comp").agg(F.min("small").alias("small"), F.max("large").alias("large"))
+    heads = members.select("n", "comp", "s").mapInArrow(run, "token long, comp long, small long, large long, p0 long, p1 long")
+    found = heads.groupBy("token", "comp").agg(F.min("small").alias("small"), F.max("large").alias("large"), F.min("p0").alias("p0"), F.max("p1").alias("p1"))
+    return found.select("token", "comp", "small", "large", F.when((F.col("p0") == F.col("p1")) & (F.col("p0") != 0), F.col("p0")).alias("prev"))
 
 
 def opened(rows: DataFrame, percent: int) -> DataFrame:
@@ -424,7 +459,7 @@ def cluster_links(members: DataFrame, percent: int) -> DataFrame:
     common = heads.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     lists = heads.join(common, "token")
     size = members.groupBy("comp").agg(F.count("*").alias("size"))
-    pairs = lists.alias("x").join(lists.alias("y"), F.expr("x.token = y.token and x.comp < y.comp and x.small <= y.large and y.small <= x.large")).select(F.col("x.comp").alias("x"), F.col("y.comp").alias("y")).distinct()
+    pairs = lists.alias("x").join(lists.alias("y"), F.expr("x.token = y.token and x.comp < y.comp and x.small <= y.large and y.small <= x.large and not coalesce(x.prev = y.prev, false)")).select(F.col("x.comp").alias("x"), F.col("y.comp").alias("y")).distinct()
     pairs = pairs.join(size.select(F.col("comp").alias("x"), F.col("size").alias("nx")), "x").join(size.select(F.col("comp").alias("y"), F.col("size").alias("ny")), "y")
     big = F.col("nx") > F.col("ny")
     # the smaller cluster's members are the queries; the larger is held in groups of bounded size
