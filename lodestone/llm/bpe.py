@@ -71,6 +71,7 @@ class MergeAutomaton:
         self.owner = [-1] * size  # token whose state this token was led to
         self.born = [-1] * size  # gadget that made this token
         self.cuts: list[dict[int, int]] = [{} for _ in range(size)]  # cuts[u][v]: gadget that cut v after u
+        self.parts: set[int] = set()
         for k, (u, v) in enumerate(merges):
             self.gadget(k, vocab[u], vocab[v], vocab[u + v])
         self.reach: dict[str, int] = {}  # symbols of the longest token, by its first two
@@ -81,8 +82,9 @@ class MergeAutomaton:
         self.size = size
 
     def gadget(self, k: int, u: int, v: int, uv: int) -> None:
-        if self.born[uv] >= 0 or max(self.born[u], self.born[v]) >= k:
+        if self.born[uv] >= 0 or uv in self.parts:  # it was used before it was made
             raise ValueError(f"merge {k} isn't built from earlier tokens, or repeats one")
+        self.parts |= {u, v}
         self.cuts[u].setdefault(v, k)
         self.left[uv], self.owner[uv], self.born[uv] = u, v, k
 

@@ -128,6 +128,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known:
     text = F.col("_text")
     named = lambda unit: lookup[digest(canonical(unit))]
     parts = F.array_distinct(F.concat(F.split(text, "\n", -1), F.split(text, PARAGRAPH, -1)))
+    parts = F.filter(parts, lambda x: x != text)  # the whole text is looked up by itself
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     found = slim.select("_id", digest(canonical(text)).alias("text_digest"), F.transform(parts, named).alias("_parts"))
     rows = found.join(F.broadcast(table.withColumnsRenamed({"digest": "text_digest", "license": "whole_license"})), "text_digest", "left")

@@ -75,7 +75,7 @@ def decode(media: bytes) -> bytes:
     while at < len(media):
         (n,), name = struct.unpack(">I", media[at : at + 4]), media[at + 4 : at + 8]
         body = media[at + 8 : at + 8 + n]
-        if struct.unpack(">I", media[at + 8 + n : at + 12 + n])[0] != zlib.crc32(name + body):
+        if at + 12 + n > len(media) or struct.unpack(">I", media[at + 8 + n : at + 12 + n])[0] != zlib.crc32(name + body):
             raise ValueError("broken media object")
         packed += body if name == b"IDAT" else b""
         at += 12 + n
