@@ -16,6 +16,8 @@ from lodestone import settings as S
 from lodestone.operators.graph import connected_components
 from lodestone.storage import materialize
 
+#: Graphs of so many edges, a few MB, are settled in one task.
+ONE_TASK = 100_000
 HIGH, MEDIUM, LOW, UNKNOWN = "HIGH", "MEDIUM", "LOW", "UNKNOWN"
 TIERS = (HIGH, MEDIUM, LOW, UNKNOWN)
 
@@ -70,7 +72,7 @@ def split_component(edges: pd.DataFrame, floor: float) -> list[list[int]]:
 def members_of(edges: DataFrame, floor: float = 0.0) -> tuple[DataFrame, int]:
     """(rid, part): the part (by its smallest member) of every record in a cluster of two or more, and how many components were split."""
     edges = materialize(edges, "match-edges")
-    comp = materialize(connected_components(edges.select("a", "b")), "match-components")
+    comp = materialize(connected_components(edges.select("a", "b"), one_task_below=ONE_TASK), "match-components")
     by = edges.join(comp.withColumnRenamed("node", "a"), "a")
     size = comp.groupBy("component").agg(F.count("*").alias("n"))
     loose = materialize(by.groupBy("component").agg(F.avg("w").alias("mean")).join(size, "component").where((F.col("n") > 2) & (F.col("mean") < floor)).select("component"), "match-loose")

@@ -8,14 +8,16 @@ mean of the halves' cosines where both halves are there.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.mllib.linalg import Vectors as OldVectors
-from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from lodestone import settings as S
+from lodestone.storage import materialize
 
 BACKENDS = ("tfidf_svd", "sbert", "auto")
 
@@ -58,41 +60,77 @@ def sparse_cosine(weights: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(sums, ["a", "b"], "left").select("a", "b", F.coalesce("cosine", F.lit(0.0)).alias("cosine"))
 
 
+def _dense(batch: pd.DataFrame, width: int) -> np.ndarray:
+    """Rows of a batch (arrays j and w) as a dense matrix."""
+    x = np.zeros((len(batch), width))
+    if len(batch):
+        x[np.repeat(np.arange(len(batch)), [len(j) for j in batch["j"]]), np.concatenate(list(batch["j"]))] = np.concatenate(list(batch["w"]))
+    return x
+
+
+def _summed(rows: DataFrame, width: int, f, columns: int) -> np.ndarray:
+    """The sum of f(X) over all rows X: partial sums where the rows are, added up by blocks of 512."""
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        acc = np.zeros((width, columns))
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                acc += f(_dense(batch.iloc[at : at + 256], width))
+        yield pd.DataFrame({"block": range(0, width, 512), "m": [acc[i : i + 512].tobytes() for i in range(0, width, 512)]})
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block": [group["block"].iloc[0]], "m": [sum(np.frombuffer(m) for m in group["m"]).tobytes()]})
+
+    sums = rows.select("j", "w").mapInPandas(part, "block long, m binary").groupBy("block").applyInPandas(add, "block long, m binary")
+    return np.concatenate([np.frombuffer(r.m) for r in sums.orderBy("block").collect()]).reshape(width, columns)  # width x columns, both bounded
+
+
+def right_basis(rows: DataFrame, width: int, k: int, seed: int = S.SEED, passes: int = 5) -> np.ndarray:
+    """The first k right singular vectors: of the Gramian up to 2,048 columns, else by randomized subspace iteration."""
+    if width <= 2048:
+        values, vectors = np.linalg.eigh(_summed(rows, width, lambda x: x.T @ x, width))
+        return vectors[:, ::-1][:, :k]
+    size = min(width, k + 10)
+    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(width, size)))[0]
+    for _ in range(passes):
+        q = np.linalg.qr(_summed(rows, width, lambda x, q=q: x.T @ (x @ q), size))[0]
+    small = q.T @ _summed(rows, width, lambda x: x.T @ (x @ q), size)
+    values, turn = np.linalg.eigh((small + small.T) / 2)
+    return q @ turn[:, ::-1][:, :k]
+
+
 def svd_vectors(weights: DataFrame, ids: DataFrame, components: int) -> DataFrame:
-    """(id, v): projections on the right singular vectors, of length one (zeros without terms).
+    """(id, v): projections on the first right singular vectors, of length one (zeros without terms).
 
-    The vocabulary is indexed by hash buckets when it is larger than ``2 ** 14``:
-    the Gramian is computed over columns on the driver's side of the solver.
+    A vocabulary of over 2^14 terms is indexed by hash buckets, which bounds the basis.
     """
     terms = weights.select("term").distinct()
     size = terms.count()
-    n = ids.count()
-    k = min(components, max(2, n - 1))
-    buckets = min(size, 1 << 14)
     if size == 0:
         return ids.select("id", F.array(F.lit(0.0)).alias("v"))
-    if size <= buckets:
+    width = min(size, 1 << 14)
+    if size <= width:
         ordered = [r.term for r in terms.orderBy("term").collect()]  # at most 2^14 terms
-        index = weights.sparkSession.createDataFrame([(t, i) for i, t in enumerate(ordered)], "term string, j int")
+        index = weights.sparkSession.createDataFrame([(t, i) for i, t in enumerate(ordered)], "term string, i int")
         placed = weights.join(F.broadcast(index), "term")
     else:
-        placed = weights.withColumn("j", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    rows = placed.groupBy("id", "j").agg(F.sum("weight").alias("w")).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("j", "w"))).alias("f"))
-    matrix = RowMatrix(rows.select("f").rdd.map(lambda r: OldVectors.sparse(buckets, [(x.j, x.w) for x in r.f])))
-    basis = matrix.computeSVD(min(k, buckets), computeU=False).V.toArray()
+        placed = weights.withColumn("i", F.pmod(F.xxhash64("term"), F.lit(width)).cast("int"))
+    pairs = placed.groupBy("id", "i").agg(F.sum("weight").alias("x")).groupBy("id").agg(F.collect_list("i").alias("j"), F.collect_list("x").alias("w"))
+    rows = materialize(pairs, "svd-rows")
+    basis = right_basis(rows, width, min(components, max(2, ids.count() - 1), width))
     held = weights.sparkSession.sparkContext.broadcast(basis)
 
-    @F.pandas_udf("array<double>")
-    def project(f: pd.Series) -> pd.Series:
-        out = []
-        for terms_ in f:
-            v = sum((x["w"] * held.value[x["j"]] for x in terms_), np.zeros(held.value.shape[1]))
-            norm = float(np.linalg.norm(v))
-            out.append(v / norm if norm else v)
-        return pd.Series(out)
+    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.iloc[at : at + 256]
+                v = _dense(part, width) @ held.value
+                norm = np.linalg.norm(v, axis=1, keepdims=True)
+                yield pd.DataFrame({"id": part["id"], "v": list(v / np.where(norm > 0, norm, 1))})
 
+    kind = ids.schema["id"].dataType.simpleString()
     zero = F.array_repeat(F.lit(0.0), basis.shape[1])
-    return ids.join(rows.select("id", project("f").alias("v")), "id", "left").select("id", F.coalesce("v", zero).alias("v"))
+    return ids.join(rows.mapInPandas(project, f"id {kind}, v array<double>"), "id", "left").select("id", F.coalesce("v", zero).alias("v"))
 
 
 class SemanticEncoder:
@@ -121,12 +159,11 @@ class SemanticEncoder:
         ids, clean = texts.select("id"), texts.select("id", F.coalesce("text", F.lit("")).alias("text"))
         word = svd_vectors(tfidf(clean, word_terms(F.col("text"))), ids, S.WORD_COMPONENTS)
         char = svd_vectors(tfidf(clean, char_terms(F.col("text")), 2), ids, S.CHAR_COMPONENTS)
-        both = word.join(char.withColumnRenamed("v", "c"), "id").select("id", F.concat("v", "c").alias("v"))
-        return both.select("id", unit(F.col("v")).alias("v"))
+        return word.join(char.withColumnRenamed("v", "c"), "id").select("id", joined("v", "c").alias("v"))
 
     @staticmethod
     def _sbert(texts: DataFrame, model: str = "paraphrase-multilingual-MiniLM-L12-v2") -> DataFrame:
-        @F.pandas_udf("array<double>")
+        @F.pandas_udf(ArrayType(DoubleType()))
         def run(t: pd.Series) -> pd.Series:
             from sentence_transformers import SentenceTransformer
 
@@ -139,9 +176,11 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def unit(v: Column) -> Column:
-    norm = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: x / F.greatest(norm, F.lit(1e-9)))
+@F.pandas_udf(ArrayType(DoubleType()))
+def joined(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Both halves as one vector of length one."""
+    out = [np.concatenate([x, y]) for x, y in zip(a, b)]
+    return pd.Series([v / max(np.linalg.norm(v), 1e-9) for v in out])
 
 
 def semantic_similarity(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
