@@ -9,7 +9,9 @@ chosen.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -28,6 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
         path = os.path.join(tempfile.gettempdir(), "checkpoints", f"lodestone-{app}")
         os.makedirs(path, exist_ok=True)
         _FALLBACK[app] = path
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(path)
     return _FALLBACK[app]
 
