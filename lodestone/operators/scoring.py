@@ -27,23 +27,20 @@ def attribute_flag(a: Column, b: Column, numeric: bool) -> Column:
     return F.when(is_missing(a, numeric) | is_missing(b, numeric), F.lit(UNKNOWN)).when(values_agree(a, b, numeric), F.lit(AGREE)).otherwise(CONFLICT)
 
 
-def attribute_agreement(left: str = "l", right: str = "r") -> dict[str, Column]:
-    """attribute, counts, hard_conflict, flags and conflicting, over the columns of two aliases."""
-    flags = {n: attribute_flag(F.col(f"{left}.{n}"), F.col(f"{right}.{n}"), n in S.NUMERIC) for n in S.ATTRIBUTES}
-    return {"flags": F.create_map(*[x for n, f in flags.items() for x in (F.lit(n), f)])}
-
-
-def from_flags(flags: Column) -> dict[str, Column]:
-    """Scores and counts of a map of flags; nothing comparable scores a half."""
-    count = lambda v: F.size(F.map_filter(flags, lambda k, x: x == v))
+def from_flags(flags: dict[str, Column]) -> dict[str, Column]:
+    """Scores and counts of the attributes' flags, as plain expressions; nothing comparable scores a half."""
+    count = lambda v: sum(((f == v).cast("int") for f in flags.values()), F.lit(0))
     agree, conflict = count(AGREE), count(CONFLICT)
-    conflicting = F.map_keys(F.map_filter(flags, lambda k, x: x == CONFLICT))
+    hard = F.lit(False)
+    for n in S.HARD_ATTRIBUTES:
+        hard = hard | (flags[n] == CONFLICT)
     return {
         "attribute": F.coalesce(F.try_divide(agree.cast("double"), (agree + conflict).cast("double")), F.lit(0.5)),
         "n_comparable_attrs": agree + conflict,
         "n_agree_attrs": agree,
         "n_conflicts": conflict,
-        "hard_conflict": F.arrays_overlap(conflicting, F.array(*[F.lit(n) for n in S.HARD_ATTRIBUTES])),
+        "hard_conflict": hard,
+        "flags": F.create_map(*[x for n, f in flags.items() for x in (F.lit(n), f)]),
     }
 
 
@@ -62,12 +59,13 @@ def score_attributes(records: DataFrame, pairs: DataFrame) -> DataFrame:
     joined = pairs.join(kept.alias("l"), F.col("a") == F.col("l.rid")).join(kept.alias("r"), F.col("b") == F.col("r.rid"))
     carried = [c for c in pairs.columns if c not in ("a", "b")]
     out = joined.select(
-        "a", "b", *carried, *[c.alias(n) for n, c in attribute_agreement().items()],
+        "a", "b", *carried, *[attribute_flag(F.col(f"l.{n}"), F.col(f"r.{n}"), n in S.NUMERIC).alias(f"_f_{n}") for n in S.ATTRIBUTES],
         F.least("l._known", "r._known").alias("min_known_attrs"),
         F.coalesce(F.col("l._cat") == F.col("r._cat"), F.lit(False)).alias("same_category"),
         F.coalesce(F.col("l._own") != F.col("r._own"), F.lit(False)).alias("cross_cpse"),
     )
-    return out.withColumns(from_flags(F.col("flags")))
+    told = from_flags({n: F.col(f"_f_{n}") for n in S.ATTRIBUTES})
+    return out.select("a", "b", *carried, "min_known_attrs", "same_category", "cross_cpse", *[c.alias(n) for n, c in told.items()])
 
 
 def score_strings(records: DataFrame, pairs: DataFrame, text_col: str = S.RAW) -> DataFrame:

@@ -232,6 +232,30 @@ def semantic_tfidf_cosine(spark, sf):
     return semantic.sparse_cosine(materialize(semantic.tfidf(texts, semantic.word_terms(F.col("text"))), "q-tfidf"), size_pairs(spark, sf))
 
 
+_FUSE = "greatest(0.0, least(1.0, 0.35 * {s} + 0.4 * {t} + 0.25 * attribute - CASE WHEN hard_conflict THEN 0.3 WHEN n_conflicts > 0 THEN 0.15 ELSE 0.0 END))"
+
+
+@query(f"{SCORE_SQL} SELECT a, b, round({_FUSE.format(s='0.5::DOUBLE', t='(((a + b) % 11) / 10.0::DOUBLE)')}, 9) AS fused FROM scores")
+def score_fused(spark, sf):
+    rows = scoring.score_attributes(materialize(attributed(spark, sf), "q-records"), size_pairs(spark, sf))
+    fused = scoring.fuse(F.lit(0.5), ((F.col("a") + F.col("b")) % 11) / 10.0, F.col("attribute"), F.col("hard_conflict"), F.col("n_conflicts"))
+    return rows.select("a", "b", F.round(fused, 9).alias("fused"))
+
+
+@query(f"""{SCORE_SQL}, both_ AS (SELECT a AS rid, b AS other, attribute FROM scores UNION ALL SELECT b, a, attribute FROM scores), r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY attribute DESC, other) AS rank FROM both_)
+SELECT rid, other, attribute, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3""")
+def score_top_k(spark, sf):
+    rows = scoring.score_attributes(materialize(attributed(spark, sf), "q-records"), size_pairs(spark, sf))
+    return scoring.top_k(rows, 3, "attribute")
+
+
+@query(f"{SCORE_SQL}, {LABELS_SQL} SELECT CAST((x.gt_group = y.gt_group) AS INTEGER) AS label, count(*) AS n, round(avg(attribute), 3) AS attribute, round(avg(n_conflicts), 3) AS n_conflicts FROM scores JOIN labels_ x ON x.rid = scores.a JOIN labels_ y ON y.rid = scores.b GROUP BY 1")
+def channels_by_label(spark, sf):
+    rows = scoring.score_attributes(materialize(attributed(spark, sf), "q-records"), size_pairs(spark, sf))
+    means = classify.label_pairs(rows, material_labels(spark, sf)).groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("attribute"), 3).alias("attribute"), F.round(F.avg("n_conflicts"), 3).alias("n_conflicts"))
+    return means
+
+
 # Graph, clusters, tiers and evaluation on attribute scores.
 EDGE = 0.99
 CLUSTER_SQL = f"""{SCORE_SQL.replace('WITH ', 'WITH RECURSIVE ', 1)}, {TRUTH_SQL}, edges AS (SELECT a, b, attribute AS w FROM scores WHERE attribute >= {EDGE}),
@@ -268,6 +292,11 @@ def cluster_rollup(spark, sf):
     return c.select(F.get("members", F.lit(0)).alias("first_member"), "size", "is_cross_cpse", "min_known_attrs", F.round("mean_score", 9).alias("mean_score"), "min_score", F.size("edges").alias("n_edges"), "tier")
 
 
+@query(f"{_ROLLUP} SELECT tier, x.node AS a, y.node AS b FROM comp x JOIN comp y USING (component) JOIN clusters USING (component) WHERE x.node < y.node")
+def cluster_pairs(spark, sf):
+    return matching.cluster_pairs(clusters_of(spark, sf)[1]).drop("cluster_id")
+
+
 @query(f"{_ROLLUP} SELECT t.tier, coalesce(c.n, 0) AS n FROM (VALUES ('HIGH'), ('MEDIUM'), ('LOW'), ('UNKNOWN')) t(tier) LEFT JOIN (SELECT tier, count(*) AS n FROM clusters GROUP BY tier) c USING (tier)")
 def cluster_tier_counts(spark, sf):
     return matching.tier_counts(clusters_of(spark, sf)[1])
@@ -326,6 +355,17 @@ def truth_examples(spark, sf):
     return rows.select("rid", "gt_group", F.col(S.OWNER).alias("owner"), F.col(f"`{S.RAW}`").alias("raw"))
 
 
+@query(f"WITH {TRUTH_SQL} SELECT least(l.p_type, r.p_type) AS category_a, greatest(l.p_type, r.p_type) AS category_b, count(*) AS n FROM truth JOIN part l ON l.p_partkey = truth.a JOIN part r ON r.p_partkey = truth.b GROUP BY 1, 2")
+def truth_category_confusion(spark, sf):
+    typed = table(spark, sf, "part").select(F.col("p_partkey").alias("rid"), F.col("p_type").alias(S.CATEGORY))
+    return profile.category_confusion(typed, profile.truth_pairs(material_labels(spark, sf)))
+
+
+@query()
+def sample_records(spark, sf):
+    return profile.sample(materials(spark, sf), 100).select("rid", F.col(f"`{S.CODE}`").alias("code"))
+
+
 @query(f"""WITH {LABELS_SQL}, g AS (SELECT DISTINCT gt_group FROM labels_), n AS (SELECT count(*) AS n FROM g), p AS (SELECT gt_group, row_number() OVER (ORDER BY md5(gt_group || '|42'), gt_group) AS r FROM g)
 SELECT gt_group, CASE WHEN r <= floor(n * 0.3) THEN 'test' WHEN r <= floor(n * 0.3) + floor(n * 0.15) THEN 'val' ELSE 'train' END AS side FROM p, n""")
 def split_groups(spark, sf):
@@ -409,6 +449,12 @@ def mapping_column_hint(spark, sf):
     return uploads.column_hint(df, "c_mktsegment").select(F.lit(True).alias("ok"), "hint")
 
 
+@query(f"""WITH {MATERIALS_SQL} SELECT 'UOM' AS name, avg((lower(trim("UOM")) IN ({', '.join(f"'{u}'" for u in uploads.UNITS)}))::INT) AS frac_unit FROM materials WHERE trim("UOM") <> ''
+UNION ALL SELECT 'CPSE', avg((lower(trim("CPSE")) IN ({', '.join(f"'{u}'" for u in uploads.UNITS)}))::INT) FROM materials""")
+def mapping_unit_columns(spark, sf):
+    return uploads.column_stats(materials(spark, sf).select(S.UOM, S.OWNER)).select("name", "frac_unit")
+
+
 @query()
 def mapping_inference(spark, sf):
     df = materials(spark, sf).select(F.col(S.OWNER).alias("Plant"), F.col(f"`{S.CODE}`").alias("Part No"), F.col(f"`{S.CATEGORY}`").alias("Item Class"), F.col(f"`{S.RAW}`").alias("Long Text"), F.col(S.UOM).alias("UoM"))
@@ -441,6 +487,11 @@ def registry_assign(spark, sf):
     return _registry(spark, sf).members.select(F.col("cnmc").alias("CNMC"), "rid", F.col("cpse").alias("CPSE"), F.col("code").alias("CPSE_Material_Code"))
 
 
+@query(REG_SQL + ", t AS (SELECT cnmc, arg_max(d, (length(d), -rid)) AS x FROM m GROUP BY cnmc) SELECT cnmc AS \"CNMC\", 'active' AS \"Status\", '' AS \"Superseded_By\", cpse AS \"CPSE\", code AS \"CPSE_Material_Code\", d AS \"Raw_Description\", x AS \"Canonical_Description\", 'HIGH' AS \"Confidence_Tier\", 'system' AS \"Created_By\" FROM m JOIN t USING (cnmc)")
+def registry_frame(spark, sf):
+    return _registry(spark, sf).to_frame().drop("Created_At", "Legacy_Sector_Code")
+
+
 @query(REG_SQL + " SELECT cnmc, arg_max(d, (length(d), -rid)) AS canonical_description FROM m GROUP BY cnmc")
 def registry_canonical(spark, sf):
     return _registry(spark, sf).entries.select("cnmc", "canonical_description")
@@ -494,6 +545,11 @@ def audit_history(spark, sf):
     return governance.by_action(governance.since(governance.history(audit(spark, sf), "NM-7"), CUT), "approve").select("event_id", "target")
 
 
+@query(f"WITH {AUDIT_SQL} SELECT action, count(*) AS n FROM audit GROUP BY action")
+def audit_action_counts(spark, sf):
+    return profile.value_counts(audit(spark, sf), "action").withColumnRenamed("value", "action")
+
+
 @query(f"WITH {AUDIT_SQL} SELECT action, count(*) AS n FROM audit WHERE actor = 'u7' GROUP BY action")
 def audit_by_actor(spark, sf):
     return governance.by_actor(audit(spark, sf), "u7").groupBy("action").agg(F.count("*").alias("n"))
@@ -538,11 +594,14 @@ def review_labels(spark, sf):
     return review.decisions_to_labels(review.simulate_reviews(queue_of(spark, sf)[2], material_labels(spark, sf)))
 
 
-@query()
+@query(f"""{_SIM}, d AS (SELECT component, action, g FROM act JOIN q USING (item_id)), k AS (SELECT c.component, c.node, p_brand FROM comp c JOIN sized ON sized.rid = c.node JOIN labels_ ON labels_.rid = c.node LEFT JOIN d USING (component)
+  WHERE action IS NULL OR action = 'approve' OR (action = 'edit' AND gt_group = g))
+SELECT string_agg(node, ',' ORDER BY node) AS members, count(DISTINCT p_brand) > 1 AS is_cross_cpse, CASE WHEN any_value(d.action) IS NULL THEN any_value(clusters.tier) ELSE 'HIGH' END AS tier
+FROM k JOIN clusters USING (component) LEFT JOIN d USING (component) GROUP BY k.component""")
 def review_apply(spark, sf):
     records, c, q = queue_of(spark, sf)
     out = review.apply_decisions(c, review.simulate_reviews(q, material_labels(spark, sf)), records)
-    return out.select("cluster_id", F.array_join("members", ",").alias("members"), "tier", "min_score", "is_cross_cpse")
+    return out.select(F.array_join("members", ",").alias("members"), "is_cross_cpse", "tier")
 
 
 # Explanation.
