@@ -351,13 +351,24 @@ def labelled_pages(count: int = 480, seed: int = 5) -> list[str]:
         if kind < 0.2:
             return words(2, 9)
         text = sentences(1, 1) if kind < 0.4 else sentences(2, 9)
+        if rnd.random() < 0.05:
+            return f'<a href="/{word()}">{text}</a>'
         return text.replace(" ", f' <a href="/x">{word()}</a> ', 1) if rnd.random() < 0.15 else text
 
+    def box(tags: list[str], attributes: str, inner: str) -> str:
+        tag = one(tags)
+        return f"<{tag}{attributes}>{inner}</{tag}>"
+
+    def named(kinds: list[str]) -> str:
+        return f' {one(["class", "id"])}="{one(kinds)}"'
+
     def links(tag: str = "li") -> str:
         return "".join(f'<{tag}><a href="/{word()}">{words(1, 3)}</a></{tag}>' for _ in range(rnd.randint(2, 8)))
 
     def article() -> str:
         out = [f"<h1>{one([words(1, 10), sentences(1, 1)])}</h1>"] if rnd.random() < 0.8 else []
+        if out and rnd.random() < 0.15:
+            out = [f"<header>{out[0]}</header>"]
         for _ in range(one([0, 1, 2, 4, 8, 14, 25])):
             k = rnd.random()
             if k < 0.68:
@@ -365,7 +376,7 @@ def labelled_pages(count: int = 480, seed: int = 5) -> list[str]:
             elif k < 0.74:
                 out.append(f"<p><b>{prose()}<br>")
             elif k < 0.8:
-                out.append(f"<{one(['h2', 'h3'])}>{words(1, 7)}</{'h2'}>")
+                out.append(box(["h2", "h3"], "", words(1, 7)))
             elif k < 0.85:
                 out.append("<ul>" + "".join(f"<li>{prose()}</li>" for _ in range(rnd.randint(2, 5))) + "</ul>")
             elif k < 0.89:
@@ -374,40 +385,58 @@ def labelled_pages(count: int = 480, seed: int = 5) -> list[str]:
                 out.append("<table>" + "".join(f"<tr><td>{words(1, 3)}</td><td>{words(1, 6)}</td></tr>" for _ in range(rnd.randint(1, 4))) + "</table>")
             elif k < 0.95:
                 out.append(f"<div>{prose()}</div>")
+            elif k < 0.97:
+                out.append(f"<figure><img src=x><figcaption>{words(2, 8)}</figcaption></figure>")
             else:
                 out.append(f"<pre>{words(3, 20)}</pre>")
         return "".join(out)
 
-    def junk() -> str:
+    def some() -> str:
+        return one([words(1, 9), sentences(1, 3), f"<p>{sentences(1, 2)}</p>", f"<h3>{words(1, 3)}</h3><p>{sentences(1, 2)}</p>"])
+
+    def form() -> str:
+        return f"<form{one(['', ' action=/s'])}><p>{words(1, 6)}</p><label>{words(1, 4)}</label><input><button>{word()}</button></form>"
+
+    ads = ["ad", "ads", "advert", "advertisement", "sponsored", "promo-box", "ad-banner"]
+    notes = ["cookie-notice", "consent", "notice", "alert", "newsletter-signup", "popup", "share", "subscribe", "social-links", "site-message"]
+    sides = ["sidebar", "side", "related", "widget box", "right-rail", "recommended"]
+    talks = ["comments", "comment-list", "replies", "discussion", "comments-area", "disqus_thread"]
+
+    def talk(mark: str = "") -> str:
+        if rnd.random() < 0.3:
+            return box(["ol", "ul"], mark + ' class="commentlist"', "".join(f'<li class="comment">{some()}</li>' for _ in range(rnd.randint(1, 5))))
+        inner = one(["", "<h2>Comments</h2>"]) + "".join(box(["div", "article", "p"], one(["", " class=comment"]), sentences(1, 4)) for _ in range(rnd.randint(1, 5)))
+        return box(["div", "section"], mark + named(talks), inner)
+
+    def junk(mark: str = "") -> str:
+        """What isn't of the article, in or around it."""
         return one(
             [
-                lambda: f"<nav><ul>{links()}</ul></nav>",
-                lambda: f'<div class="{one(["menu", "nav-links", "breadcrumb", "pagination", "toc"])}">{links(one(["li", "span"]))}</div>',
-                lambda: f"<ul>{links()}</ul>",
-                lambda: f"<header><{one(['h1', 'h2', 'div', 'p'])}>{words(1, 5)}</{'div'}>{one(['', f'<p>{sentences(1, 2)}</p>'])}</header>",
-                lambda: f'<div {one(["class", "id"])}="{one(["header", "masthead", "site-header", "topbar"])}"><p>{words(1, 8)}</p></div>',
-                lambda: f"<aside>{one([f'<h3>{words(1, 3)}</h3>', ''])}<p>{sentences(1, 3)}</p>{one(['', f'<ul>{links()}</ul>'])}</aside>",
-                lambda: f'<div {one(["class", "id"])}="{one(["sidebar", "side", "related", "widget box", "right-rail"])}"><p>{sentences(1, 4)}</p></div>',
-                lambda: f'<{one(["div", "section", "aside"])} class="{one(["ad", "ads", "advert", "sponsored", "promo-box", "ad-banner"])}">{one([sentences(1, 3), f"<p>{sentences(1, 3)}</p>", words(2, 9)])}</div>',
-                lambda: f'<div {one(["class", "id"])}="{one(["cookie-notice", "consent", "notice", "alert", "newsletter", "popup", "share"])}">{one([sentences(1, 3), f"<p>{sentences(1, 2)}</p>"])}</div>',
-                lambda: f"<form{one(['', ' action=/s'])}><p>{words(1, 6)}</p><label>{words(1, 4)}</label><input><button>{word()}</button></form>",
+                lambda: f"<nav{mark}><ul>{links()}</ul></nav>",
+                lambda: box(["div", "nav", "ul"], mark + named(["menu", "nav-links", "breadcrumb", "pagination", "toc"]), links(one(["li", "span"]))),
+                lambda: f"<aside{mark}>{some()}{one(['', f'<ul>{links()}</ul>'])}</aside>",
+                lambda: box(["div", "section", "aside"], mark + named(sides), some()),
+                lambda: box(["div", "section", "aside"], mark + named(ads), some()),
+                lambda: box(["div", "section"], mark + named(notes), some() + one(["", "", form()])),
+                lambda: box(["form"], mark, f"<p>{words(1, 6)}</p><label>{words(1, 4)}</label><input>"),
             ]
         )()
 
-    def tail() -> str:
+    def around() -> str:
         return one(
             [
-                lambda: "",
-                lambda: f'<{one(["div", "section"])} {one(["class", "id"])}="{one(["comments", "comment-list", "replies", "discussion"])}">{one(["", "<h2>Comments</h2>"])}'
-                + "".join(f'<{one(["div", "article", "p"])}{one(["", " class=comment"])}>{one([f"<p>{sentences(1, 4)}</p>", sentences(1, 4)])}</div>' for _ in range(rnd.randint(1, 5)))
-                + "</div>",
                 junk,
+                junk,
+                lambda: f"<ul>{links()}</ul>",
+                lambda: f"<header>{box(['h1', 'h2', 'div', 'p'], '', words(1, 5))}{one(['', f'<p>{sentences(1, 2)}</p>'])}</header>",
+                lambda: box(["div"], named(["header", "masthead", "site-header", "topbar"]), some()),
+                lambda: box(["div"], f' role="{one(["banner", "navigation", "complementary", "search"])}"', some()),
             ]
         )()
 
-    def foot() -> str:
+    def foot(mark: str = "") -> str:
         text = one([f"&copy; {word()}.example.com &middot; {sentences(1, 2)}", words(2, 12), sentences(1, 2), f"<p>{sentences(1, 2)}</p>"])
-        return one([f"<footer>{text}</footer>", f'<div {one(["class", "id"])}="{one(["footer", "site-footer", "bottom"])}">{text}</div>', ""])
+        return one([f"<footer{mark}>{text}</footer>", box(["div"], mark + named(["footer", "site-footer", "bottom"]), text), ""])
 
     out = []
     for _ in range(count):
@@ -429,10 +458,13 @@ def labelled_pages(count: int = 480, seed: int = 5) -> list[str]:
         )
         inner = article()
         if not shell[0]:  # blocks right in the body
-            inner = re.sub(r"<(p|h\d|ul|blockquote|div|table|pre)>", r'<\1 data-label="1">', inner)
-        elif rnd.random() < 0.12:  # something foreign within
-            inner = inner.replace("</p>", "</p>" + f'<div data-label="0" class="{one(["ad", "related", "share", "newsletter"])}">{sentences(1, 2)}</div>', 1)
-        body = "".join(junk() for _ in range(rnd.randint(0, 3))) + shell[0].format(' data-label="1"') + inner + shell[1] + tail() + foot()
+            inner = re.sub(r"<(p|h\d|ul|blockquote|div|table|pre|header|figure)>", r'<\1 data-label="1">', inner)
+        elif rnd.random() < 0.5:
+            off = ' data-label="0"'
+            for _ in range(rnd.randint(1, 3)):
+                other = one([junk, junk, talk, foot])(off)
+                inner = one([other + inner, inner + other, inner.replace("</p>", "</p>" + other, 1)])
+        body = "".join(around() for _ in range(rnd.randint(0, 3))) + shell[0].format(' data-label="1"') + inner + shell[1] + one([str, talk, junk])() + foot()
         out.append(f"<!DOCTYPE html><html><head><title>{words(1, 6)}</title></head><body>{body}</body></html>")
     return out
 

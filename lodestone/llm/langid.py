@@ -39,7 +39,7 @@ UNKNOWN = "und"
 BUCKETS = 1 << 16
 WINDOW = 16
 CACHE_WORDS = 120_000
-GROUP_CELLS, SLICE = 250_000, 4096  # words of texts that run together; texts labelled at once
+GROUP_CELLS, SLICE = 200_000, 2048  # words of texts that run together; texts labelled at once
 
 
 def features(word: str) -> list[int]:

@@ -51,7 +51,7 @@ from lodestone.operators.graph import connected_components
 from lodestone.storage import materialize
 
 #: Tokens of one block of documents, of one token bucket; documents in one block.
-BLOCK_TOKENS, BUCKET_TOKENS, BLOCK_DOCS = 2_000_000, 4_000_000, 60_000
+BLOCK_TOKENS, BUCKET_TOKENS, BLOCK_DOCS = 1_000_000, 2_500_000, 60_000
 #: Sets of one block that make a token hot; bits kept of a token inside its bucket.
 HOT_LOCAL, TOKEN_BITS = 64, 40
 #: Most members of a group of the matrix, sets and tokens of a chunk that is clustered at once; leaders a chunk keeps.
