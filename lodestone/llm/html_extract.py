@@ -25,6 +25,7 @@ from __future__ import annotations
 import html as html_lib
 import random
 import re
+import uuid
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -473,14 +474,14 @@ def default_model() -> Model:
     return fit(labelled_pages())
 
 
-_LIVE: dict[int, Model] = {}
+_LIVE: dict[str, Model] = {}
 
 
 def extract(pages: DataFrame, model: Model | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars) for every page. No shuffle; the model (fixed size) is broadcast."""
     model = model or default_model()
     spark = pages.sparkSession
-    held = spark.sparkContext.broadcast((id(model), model.weights, model.pair))
+    held = spark.sparkContext.broadcast((uuid.uuid4().hex, model.weights, model.pair))
     kinds = [pages.select(F.col(c)).schema[0].dataType.simpleString() for c in (id_col, url_col)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,6 +23,7 @@ rows; an empty table gives an empty table; other columns are ignored.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from itertools import chain
 from zlib import crc32
@@ -247,7 +248,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return fit(labelled_sample(docs, id_col, text_col, lang_col, per_language, words_each), words_each)
 
 
-_LIVE: dict[int, Chain] = {}
+_LIVE: dict[str, Chain] = {}
 
 
 def label(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -257,7 +258,7 @@ def label(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
     texts is labelled where it is read.
     """
     spark = docs.sparkSession
-    key = id(chain)
+    key = uuid.uuid4().hex  # workers keep a model by this name
     held = spark.sparkContext.broadcast((key, chain.languages, chain.weights, chain.transitions))
     keep = carry if carry is not None else [id_col]
     fields = [docs.select(F.col(f"`{c}`")).schema[0] for c in keep]
