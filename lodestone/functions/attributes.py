@@ -29,7 +29,7 @@ MATERIALS = [
     ("rubber", "rubber"), ("hardox", "hardox"), ("manganese", "manganese steel"),
 ]
 
-# Patterns of the attributes in normalized text.
+# Patterns of the attributes in normalized text, which has ASCII only.
 PATTERNS = {
     "nominal_size_mm": rf"(?:{NUM}\s*(?:mm\s*)?nominal bore|nominal bore\s*{NUM}\s*(?:mm)?)",
     "inch_size": rf"{NUM}\s*inch",
@@ -57,7 +57,7 @@ BARE_MM = r"(?<![\d.])(?<!(?:thick|thickness|wide|width|bore) ?)(?<!\d ?[x×] ?)
 
 
 def _group(text: Column, name: str, g: int) -> Column:
-    return F.nullif(F.regexp_extract(text, "(?U)" + PATTERNS[name], g), F.lit(""))
+    return F.nullif(F.regexp_extract(text, PATTERNS[name], g), F.lit(""))
 
 
 def number(text: Column, name: str) -> Column:
@@ -87,7 +87,7 @@ def from_text(text: Column) -> dict[str, Column]:
     for word, name in reversed(MATERIALS):
         material = F.when(F.contains(text, F.lit(word)), F.lit(name)).otherwise(material)
     out["material_of_construction"] = material
-    sizes = F.transform(F.regexp_extract_all(text, F.lit("(?U)" + BARE_MM), F.lit(1)), lambda x: x.try_cast("double"))
+    sizes = F.transform(F.regexp_extract_all(text, F.lit(BARE_MM), F.lit(1)), lambda x: x.try_cast("double"))
     other = lambda x, n: F.coalesce(x != out[n], F.lit(True))
     out["bare"] = F.get(F.filter(sizes, lambda x: other(x, "thickness_mm") & other(x, "width_mm")), F.lit(0))
     return out
@@ -99,7 +99,7 @@ def from_columns(cols: dict[str, Column | None]) -> dict[str, Column]:
     stated = lambda n: F.when(F.trim(F.regexp_replace(cols[n], r"(?U)\s+", " ")) != "", cols[n]) if cols.get(n) is not None else null
     tidy = lambda c: F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
     dims, capacity = normalize(stated("Dimensions")), normalize(stated("Capacity/Rating"))
-    first_mm = F.nullif(F.regexp_extract(dims, rf"(?U){NUM}\s*mm", 1), F.lit("")).try_cast("double")
+    first_mm = F.nullif(F.regexp_extract(dims, rf"{NUM}\s*mm", 1), F.lit("")).try_cast("double")
     out = {
         "grade": tidy(stated("Material/Grade")),
         "spec_standard": tidy(stated("Specification/Standard")),

@@ -23,24 +23,36 @@ def is_missing(c: Column, numeric: bool) -> Column:
     return (c.isNull() | F.isnan(c)) if numeric else (c.isNull() | (F.trim(c) == ""))
 
 
-def attribute_flag(a: Column, b: Column, numeric: bool) -> Column:
-    return F.when(is_missing(a, numeric) | is_missing(b, numeric), F.lit(UNKNOWN)).when(values_agree(a, b, numeric), F.lit(AGREE)).otherwise(CONFLICT)
+def cleaned(name: str) -> Column:
+    """An attribute as it is compared: missing as null, texts trimmed and in lower case."""
+    c = F.col(name)
+    return F.when(~F.isnan(c), c) if name in S.NUMERIC else F.nullif(F.lower(F.trim(c)), F.lit(""))
 
 
-def from_flags(flags: dict[str, Column]) -> dict[str, Column]:
-    """Scores and counts of the attributes' flags, as plain expressions; nothing comparable scores a half."""
-    count = lambda v: sum(((f == v).cast("int") for f in flags.values()), F.lit(0))
-    agree, conflict = count(AGREE), count(CONFLICT)
+def agreement(a: Column, b: Column, numeric: bool) -> Column:
+    """1 where two cleaned values agree, 0 where they conflict, null where one is missing."""
+    if numeric:
+        same = values_agree(a, b, True)
+    else:
+        same = F.contains(a, b) | F.contains(b, a)
+    return F.when(a.isNotNull() & b.isNotNull(), same.cast("int"))
+
+
+def from_agreements(found: dict[str, Column]) -> dict[str, Column]:
+    """Scores, counts and flags of the attributes' agreements, as plain expressions; nothing comparable scores a half."""
+    agree = sum((F.coalesce(f, F.lit(0)) for f in found.values()), F.lit(0))
+    conflict = sum((F.coalesce(1 - f, F.lit(0)) for f in found.values()), F.lit(0))
     hard = F.lit(False)
     for n in S.HARD_ATTRIBUTES:
-        hard = hard | (flags[n] == CONFLICT)
+        hard = hard | F.coalesce(found[n] == 0, F.lit(False))
+    flag = lambda f: F.when(f == 1, F.lit(AGREE)).when(f == 0, F.lit(CONFLICT)).otherwise(UNKNOWN)
     return {
         "attribute": F.coalesce(F.try_divide(agree.cast("double"), (agree + conflict).cast("double")), F.lit(0.5)),
         "n_comparable_attrs": agree + conflict,
         "n_agree_attrs": agree,
         "n_conflicts": conflict,
         "hard_conflict": hard,
-        "flags": F.create_map(*[x for n, f in flags.items() for x in (F.lit(n), f)]),
+        "flags": F.create_map(*[x for n, f in found.items() for x in (F.lit(n), flag(f))]),
     }
 
 
@@ -53,18 +65,18 @@ def fuse(semantic: Column, string: Column, attribute: Column, hard: Column, conf
 
 def score_attributes(records: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b) with the attribute channel, min_known_attrs, same_category, cross_cpse and flags."""
-    kept = records.select("rid", F.col(f"`{S.CATEGORY}`").alias("_cat"), F.col(S.OWNER).alias("_own"), *S.ATTRIBUTES)
-    known = sum(((~is_missing(F.col(n), n in S.NUMERIC)).cast("int") for n in S.ATTRIBUTES), F.lit(0))
+    kept = records.select("rid", F.col(f"`{S.CATEGORY}`").alias("_cat"), F.col(S.OWNER).alias("_own"), *[cleaned(n).alias(n) for n in S.ATTRIBUTES])
+    known = sum((F.col(n).isNotNull().cast("int") for n in S.ATTRIBUTES), F.lit(0))
     kept = kept.withColumn("_known", known)
     joined = pairs.join(kept.alias("l"), F.col("a") == F.col("l.rid")).join(kept.alias("r"), F.col("b") == F.col("r.rid"))
     carried = [c for c in pairs.columns if c not in ("a", "b")]
     out = joined.select(
-        "a", "b", *carried, *[attribute_flag(F.col(f"l.{n}"), F.col(f"r.{n}"), n in S.NUMERIC).alias(f"_f_{n}") for n in S.ATTRIBUTES],
+        "a", "b", *carried, *[agreement(F.col(f"l.{n}"), F.col(f"r.{n}"), n in S.NUMERIC).alias(f"_f_{n}") for n in S.ATTRIBUTES],
         F.least("l._known", "r._known").alias("min_known_attrs"),
         F.coalesce(F.col("l._cat") == F.col("r._cat"), F.lit(False)).alias("same_category"),
         F.coalesce(F.col("l._own") != F.col("r._own"), F.lit(False)).alias("cross_cpse"),
     )
-    told = from_flags({n: F.col(f"_f_{n}") for n in S.ATTRIBUTES})
+    told = from_agreements({n: F.col(f"_f_{n}") for n in S.ATTRIBUTES})
     return out.select("a", "b", *carried, "min_known_attrs", "same_category", "cross_cpse", *[c.alias(n) for n, c in told.items()])
 
 
