@@ -5,8 +5,9 @@ n-gram and lexicon (whole word) features of the word, hashed into a weight
 table; a learned transition matrix scores neighbouring labels. Weights and
 transitions are fitted together by maximum likelihood, whose gradient is the
 difference of observed and expected counts under forward-backward. A text's
-language is the label with the largest mean marginal over all its words, and
-that mean is its score; ``word_marginals`` gives the labels of code-switched
+language is the label with the largest mean marginal over its different words
+(each the mean of its places, so that a line repeated a thousand times counts
+once), and that mean is its score; ``word_marginals`` gives the labels of code-switched
 text word by word.
 
 Training reads labelled rows only, a bounded sample of them: at most
@@ -156,12 +157,14 @@ class Chain:
         if not self.languages:
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
         langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        for group, n, found in self._groups(self.word_ids(texts)):
-            found[np.arange(len(found))[:, None] >= n] = 0
-            mean = found.sum(0, dtype=np.float64) / n[:, None]
+        ids = self.word_ids(texts)
+        for group, n, found in self._groups(ids):
             for j, i in enumerate(group):
-                best = int(mean[j].argmax())
-                langs[i], scores[i] = self.languages[best], min(1.0, float(mean[j, best]))
+                _, of, count = np.unique(ids[i], return_inverse=True, return_counts=True)
+                weight = 1.0 / count[of]
+                mean = weight @ found[: n[j], j] / len(count)
+                best = int(mean.argmax())
+                langs[i], scores[i] = self.languages[best], min(1.0, float(mean[best]))
         self.forget()
         return langs, scores
 
