@@ -307,8 +307,9 @@ u AS (SELECT coalesce(p.a, t.a) AS a, coalesce(p.b, t.b) AS b, p.a IS NOT NULL A
 x AS (SELECT p, t, l.p_brand <> r.p_brand AS c FROM u JOIN sized l ON l.rid = u.a JOIN sized r ON r.rid = u.b),
 s AS (SELECT 'overall' AS scope, p, t FROM x UNION ALL SELECT CASE WHEN c THEN 'cross_cpse' ELSE 'within_cpse' END, p, t FROM x),
 m AS (SELECT scope, count(*) FILTER (p AND t) AS true_positives, count(*) FILTER (p) AS predicted, count(*) FILTER (t) AS actual FROM s GROUP BY scope)
-SELECT scope, true_positives, predicted, actual, true_positives / predicted::DOUBLE AS precision, true_positives / actual::DOUBLE AS recall,
-  round(2.0 * true_positives / (predicted + actual), 9) AS f1 FROM m""")
+SELECT scope, coalesce(true_positives, 0) AS true_positives, coalesce(predicted, 0) AS predicted, coalesce(actual, 0) AS actual, coalesce(true_positives / nullif(predicted, 0)::DOUBLE, 0) AS precision,
+  coalesce(true_positives / nullif(actual, 0)::DOUBLE, 0) AS recall, coalesce(round(2.0 * true_positives / nullif(predicted + actual, 0), 9), 0) AS f1
+FROM (VALUES ('overall'), ('cross_cpse'), ('within_cpse')) v(scope) LEFT JOIN m USING (scope)""")
 def cluster_evaluate(spark, sf):
     records, c = clusters_of(spark, sf)
     return matching.evaluate(c, profile.truth_pairs(material_labels(spark, sf)), records).withColumn("f1", F.round("f1", 9))
@@ -430,7 +431,7 @@ def profile_null_rates(spark, sf):
 
 @query(NORM + f""", {LABELS_SQL}, j AS (SELECT array_to_string(list_sort(list_distinct(string_split(t, ' '))), ' ') AS k, gt_group FROM norm JOIN labels_ USING (rid)),
 a AS (SELECT sum(n * (n - 1) // 2) AS p FROM (SELECT count(*) AS n FROM j GROUP BY k)), h AS (SELECT sum(n * (n - 1) // 2) AS t FROM (SELECT count(*) AS n FROM j GROUP BY k, gt_group)), g AS (SELECT sum(n * (n - 1) // 2) AS r FROM (SELECT count(*) AS n FROM j GROUP BY gt_group))
-SELECT CAST(p AS BIGINT) AS pairs, CAST(t AS BIGINT) AS true_pairs, t / p::DOUBLE AS purity, t / r::DOUBLE AS recall FROM a, h, g""")
+SELECT CAST(p AS BIGINT) AS pairs, CAST(t AS BIGINT) AS true_pairs, coalesce(t / nullif(p, 0)::DOUBLE, 0) AS purity, coalesce(t / nullif(r, 0)::DOUBLE, 0) AS recall FROM a, h, g""")
 def collision_quality(spark, sf):
     key = normalize.token_set_key(normalize.normalize(F.col(f"`{S.RAW}`")))
     return profile.collision_quality(materials(spark, sf), material_labels(spark, sf), key)
