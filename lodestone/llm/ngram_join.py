@@ -57,6 +57,8 @@ HOT_LOCAL, TOKEN_BITS = 64, 40
 #: Most members of a group of the matrix, sets and tokens of a chunk that is clustered at once; leaders a chunk keeps.
 GROUP_MEMBERS, CHUNK, CHUNK_TOKENS, LEADERS = 256, 4000, 2_000_000, 64
 CACHE_WORDS = 100_000
+#: Ranges that a token bucket is worked through in, to hold less at once.
+PASSES = 4
 HOT_CLASS = 15
 
 _WORDS = Memo(xxhash.xxh64_intdigest, CACHE_WORDS)
@@ -232,6 +234,30 @@ def blocks_of(docs: DataFrame, width: int, by: Buckets) -> DataFrame:
     return docs.select("text").mapInArrow(run, FOUND_SQL)
 
 
+def many_of(rows: pa.Table, hot: np.ndarray, low: np.uint64, high: np.uint64) -> tuple[np.ndarray, ...]:
+    """(row, document, token, class) of a bucket's tokens from low to high that stand in two different sets."""
+    t, of, ref, mark = [], [], [], []
+    for i, (a, b, c) in enumerate(zip(*(rows.column(x) for x in "abc"))):
+        tokens, c = unpacked(a.as_py()), c.as_py()
+        own, n = slice(*np.searchsorted(tokens, [low, high])), len(c) // 6
+        local = unplanes(b.as_py(), np.uint16)[own]
+        t.append(tokens[own])
+        of.append(np.full(len(local), i, np.uint32))
+        ref.append(unplanes(c[: 2 * n], np.uint16)[local])
+        mark.append(unplanes(c[2 * n :], np.uint32)[local])
+    t, of, ref, mark = (np.concatenate(x) for x in (t, of, ref, mark))
+    if not len(t):
+        return of, ref, t, np.zeros(0, np.int64)
+    order = np.argsort(t, kind="stable")
+    t, of, ref, mark = t[order], of[order], ref[order], mark[order]
+    starts, lengths = runs(t)
+    very = np.isin(t[starts], hot)
+    many = very | (np.minimum.reduceat(mark, starts) != np.maximum.reduceat(mark, starts))
+    classes = np.where(very, HOT_CLASS, np.minimum(HOT_CLASS - 1, np.log2(lengths).astype(np.int64)))
+    keep = np.repeat(many, lengths)
+    return of[keep], ref[keep], t[keep], np.repeat(classes, lengths)[keep]
+
+
 def shared_of(blocks: DataFrame, by: Buckets) -> DataFrame:
     """The tokens that stand in two different sets, sent back to their blocks."""
 
@@ -239,31 +265,17 @@ def shared_of(blocks: DataFrame, by: Buckets) -> DataFrame:
         if key[0].as_py():  # known since the block of documents
             return rows
         bucket = key[1].as_py()
-        t, of, ref, mark, hot, names = [], [], [], [], [np.zeros(0, U)], []
-        for block, a, b, c, d in zip(*(rows.column(x).to_pylist() for x in ("block", "a", "b", "c", "d"))):
-            local, n = unplanes(b, np.uint16), len(c) // 6
-            t.append(unpacked(a))
-            of.append(np.full(len(local), len(names), np.uint32))
-            ref.append(unplanes(c[: 2 * n], np.uint16)[local])
-            mark.append(unplanes(c[2 * n :], np.uint32)[local])
-            hot.append(unpacked(d))
-            names.append(block)
-        t, of, ref, mark, hot = np.concatenate(t), np.concatenate(of), np.concatenate(ref), np.concatenate(mark), np.unique(np.concatenate(hot))
+        names = rows.column("block").to_pylist()
+        hot = np.unique(np.concatenate([unpacked(d.as_py()) for d in rows.column("d")]))
+        cut = np.array([(by.width >> int(by.shift)) * k // PASSES for k in range(PASSES)] + [1 << 63], U)
+        kept = [many_of(rows, hot, cut[k], cut[k + 1]) for k in range(PASSES)]
+        of, ref, t, classes = (np.concatenate(x) for x in zip(*kept))
+        order = np.argsort(of, kind="stable")
+        of, ref, t, classes = of[order], ref[order], t[order], classes[order]
         out = []
-        if len(t):
-            order = np.argsort(t, kind="stable")
-            t, of, ref, mark = t[order], of[order], ref[order], mark[order]
-            starts, lengths = runs(t)
-            very = np.isin(t[starts], hot)
-            many = very | (np.minimum.reduceat(mark, starts) != np.maximum.reduceat(mark, starts))
-            classes = np.where(very, HOT_CLASS, np.minimum(HOT_CLASS - 1, np.log2(lengths).astype(np.int64)))
-            keep = np.repeat(many, lengths)
-            t, of, ref, classes = t[keep], of[keep], ref[keep], np.repeat(classes, lengths)[keep]
-            order = np.argsort(of, kind="stable")
-            t, of, ref, classes = t[order], of[order], ref[order], classes[order]
-            for s, n in zip(*runs(of)):
-                own = slice(s, s + n)
-                out.append(shared_row(by, names[of[s]], bucket, ref[own], t[own], classes[own]))
+        for s, n in zip(*runs(of)):
+            own = slice(s, s + n)
+            out.append(shared_row(by, names[of[s]], bucket, ref[own], t[own], classes[own]))
         return pa.Table.from_batches([table(out, FOUND)])
 
     return blocks.groupBy("kind", "bucket").applyInArrow(run, FOUND_SQL)
