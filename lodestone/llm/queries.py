@@ -119,3 +119,17 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op8_license_scan"] = license_scan.oracle()
+
+
+ORACLE["op3_ngram_jaccard_join"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(l) = 0 THEN [] WHEN len(l) < 5 THEN [array_to_string(l, ' ')] ELSE list_transform(range(1, len(l) - 3), lambda i: array_to_string(l[i:i + 4], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y USING (g) WHERE x.doc_id < y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 75 * (na.n + nb.n - k)),
+u AS (SELECT a AS x, b AS y FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT x AS node, x AS root FROM u UNION SELECT y, root FROM r JOIN u ON node = x),
+c AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+SELECT documents.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.root, documents.doc_id) AS component_id
+FROM documents LEFT JOIN n ON n.doc_id = documents.doc_id LEFT JOIN c ON c.node = documents.doc_id
+"""
