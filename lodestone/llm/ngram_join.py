@@ -381,7 +381,7 @@ def clusters_of(sets: DataFrame, percent: int) -> DataFrame:
     cut = cut.repartition("g", "part").sortWithinPartitions("g", "part", "n", "sig").select("g", "part", "sig", "n", "s")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, rows, total = None, [], 0
+        at, last, rows, total = None, None, [], 0
 
         def done() -> pa.RecordBatch:
             comp = cluster_chunk([(n, t) for _, n, t in rows], percent)
@@ -390,12 +390,12 @@ def clusters_of(sets: DataFrame, percent: int) -> DataFrame:
 
         for batch in batches:
             for g, part, sig, n, s in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if (g, part, sig, n) == last:  # the same set from another block, whether or not the chunk is cut here
+                    continue
                 if rows and ((g, part) != at or total > CHUNK_TOKENS):
                     yield done()
                     rows, total = [], 0
-                if rows and (sig, n) == (rows[-1][0], rows[-1][1]):  # the same set from another block
-                    continue
-                at = (g, part)
+                at, last = (g, part), (g, part, sig, n)
                 rows.append((sig, n, np.frombuffer(s, U)))
                 total += len(s) // 8
         if rows:
