@@ -62,8 +62,11 @@ class Tree:
                 order[a:b] = own[np.argpartition(vectors[own, axis], half)]
                 left = build(a, a + half)
                 self.kids[i] = (left, build(a + half, b))
-            elif wide.max() == 0:  # equal vectors: by id, so that the first k do
-                order[a:b] = own[np.argsort(ids[own], kind="stable")]
+            elif wide.max() == 0:  # equal vectors: each id once and in order, so that the first k do
+                first = np.unique(ids[own], return_index=True)[1]
+                order[a : a + len(first)] = own[first]
+                order[a + len(first) : b] = np.delete(own, first)
+                self.span[i] = (a, a + len(first))
             return i
 
         if len(ids):
@@ -79,7 +82,8 @@ class Tree:
 
     def search(self, qid: int, q: np.ndarray, bound: np.ndarray, k: int, best: list[tuple[int, int]], mine: bool = False) -> list[tuple[int, int]]:
         """The k best (score, -id) of ``best`` and this shard, best first opened."""
-        top = [*best]
+        held = set(best)  # an id and score count once, however many rows have them
+        top = [*held]
         heapq.heapify(top)
         todo = [(-bound[0], self.least[0], 0)] if self.lo else []
         while todo:
@@ -96,8 +100,6 @@ class Tree:
             s, e = self.span[i]
             if self.half[i].max() == 0:
                 e = min(e, s + k + 1)  # equal vectors in order of ids; one may be the query's own
-                while e < self.span[i][1] and (self.ids[s:e] != qid).sum() < k:
-                    e += 1
             scores = self.vectors[s:e] @ q
             ids = self.ids[s:e]
             ok = ids != qid
@@ -105,10 +107,13 @@ class Tree:
                 ok &= scores >= top[0][0]
             for score, vid in zip(scores[ok], ids[ok]):
                 item = (int(score), -int(vid))
+                if item in held or (len(top) >= k and item <= top[0]):
+                    continue
+                held.add(item)
                 if len(top) < k:
                     heapq.heappush(top, item)
-                elif item > top[0]:
-                    heapq.heapreplace(top, item)
+                else:
+                    held.discard(heapq.heapreplace(top, item))
         return top
 
 
