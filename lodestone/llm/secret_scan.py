@@ -1,8 +1,8 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
 Everything on the main path is SQL. Candidates are long runs of key-like
-characters with a digit, values assigned to a name like ``password``, and
-private key blocks. Each distinct candidate of a text becomes a struct of
+characters with a digit or of a known make, values assigned to a name like
+``password``, and private key blocks. Each distinct candidate of a text becomes a struct of
 features (length, shares and transitions of character classes, entropy,
 dictionary coverage, path, neighbouring words), and the forest, trained from
 labelled findings by MLlib in the JVM, is written out as one SQL expression: the
@@ -40,8 +40,11 @@ HARMLESS_NAMES = "sha.?1|sha.?256|sha.?512|md5|crc|commit|checksum|digest|hash|u
 KNOWN_SHAPES = "^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_|^github_pat_|^xox[abprs]-|^sk[-_]|^AIza|^eyJ|^glpat-|^-----BEGIN"
 COMMON_PAIRS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le"
 
-LONG = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]*-----END [A-Z ]{0,30}PRIVATE KEY-----|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,200}[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
-NAMED = r"(?i)(?:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"'=:,;]{6,})"
+#: Makes that are known by their first letters; these need no digit.
+SHAPES = r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9+/_-])|gh[pousr]_|github_pat_|xox[abprs]-|sk[-_]|AIza|eyJ|glpat-"
+PEM = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[^-]++|-(?!----(?:BEGIN|END) [A-Z ]{0,30}PRIVATE KEY-----))*+-----END [A-Z ]{0,30}PRIVATE KEY-----"
+LONG = PEM + r"|(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]{0,200}[0-9])|(?=" + SHAPES + r"))[A-Za-z0-9+/_-]{16,}={0,2}"
+NAMED = r"(?i)(?:passw(?:or)?d|passwd|pwd|secret|token|(?:api|access|auth|private|secret)[_-]?key(?:[_-]?id)?)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"'=:,;]{6,})"
 
 #: Feature name and SQL over ``v`` (candidate), ``pre`` and ``post`` (neighbours) and ``path``.
 FEATURES = {
