@@ -609,7 +609,7 @@ def review_apply(spark, sf):
 @query()
 def explain_pair(spark, sf):
     records = materialize(attributed(spark, sf), "q-records")
-    scored = scoring.score_attributes(records, size_pairs(spark, sf).where("a < 200")).withColumns({"semantic": F.lit(0.5), "string": F.lit(0.5), "fused": F.col("attribute")})
+    scored = scoring.score_attributes(records, size_pairs(spark, sf)).withColumns({"semantic": F.lit(0.5), "string": F.lit(0.5), "fused": F.col("attribute")})
     out = explain.explain_pairs(scored, records, F.lit("MEDIUM"))
     return out.select("a", "b", explain.render(F.col("verdict"), F.col("score"), F.col("subject"), F.col("lines"), F.col("caveats")).alias("text"))
 
