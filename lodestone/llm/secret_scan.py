@@ -2,7 +2,7 @@
 
 Everything on the main path is SQL. Candidates are long runs of key-like
 characters with a digit or of a known make, values assigned to a name like
-``password``, and private key blocks. Each distinct candidate of a text becomes a struct of
+``password``, and private key blocks. Each place of a candidate becomes a struct of
 features (length, shares and transitions of character classes, entropy,
 dictionary coverage, path, neighbouring words), and the forest, trained from
 labelled findings by MLlib in the JVM, is written out as one SQL expression: the
@@ -56,9 +56,9 @@ FEATURES = {
     "hex": "cast(c.v rlike '^[0-9a-f]+$' or c.v rlike '^[0-9A-F]+$' as double)",
     "moves": "regexp_count(c.v, '(?<=[a-z])[^a-z]|(?<=[A-Z])[^A-Z]|(?<=[0-9])[^0-9]') / length(c.v)",
     "pairs": f"regexp_count(lower(c.v), '{COMMON_PAIRS}') * 2 / length(c.v)",
-    "entropy": "aggregate(array_distinct(split(substring(c.v, 1, 256), '')), 0D, (e, x) -> e - "
-    "((length(substring(c.v, 1, 256)) - length(replace(substring(c.v, 1, 256), x, ''))) / length(substring(c.v, 1, 256))) * "
-    "log2((length(substring(c.v, 1, 256)) - length(replace(substring(c.v, 1, 256), x, ''))) / length(substring(c.v, 1, 256))))",
+    "entropy": "aggregate(array_distinct(split(c.v, '')), 0D, (e, x) -> e - "
+    "((length(c.v) - length(replace(c.v, x, ''))) / length(c.v)) * "
+    "log2((length(c.v) - length(replace(c.v, x, ''))) / length(c.v)))",
     "words": f"1 - length(regexp_replace(lower(c.v), '{'|'.join(sorted(DICTIONARY, key=lambda w: (-len(w), w)))}', '')) / length(c.v)",
     "uuid": "cast(c.v rlike '^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$' as double)",
     "shape": f"cast(c.v rlike '{KNOWN_SHAPES}' as double)",
@@ -169,18 +169,33 @@ def default_forest(spark: SparkSession) -> str:
 
 
 def with_findings(docs: DataFrame, text_col: str = "text", path_col: str | None = None, forest: str | None = None, at_least: float = 0.5, out: str = "findings") -> DataFrame:
-    """Adds ``out``: array of (v, at, score, is_secret) of the distinct candidates, in the order of their first places."""
+    """Adds ``out``: array of (at, v, score, is_secret, starts) of the distinct candidates, in the order of their first places.
+
+    Every place is scored with its own neighbours; the highest score is the candidate's.
+    """
     forest = forest or default_forest(docs.sparkSession)
     t, path = f"cast(`{text_col}` as string)", f"coalesce(cast(`{path_col}` as string), '')" if path_col else "''"
     quoted = lambda p: "r'" + p.replace("'", "\\x27") + "'"
-    named = f"case when {t} rlike {quoted(NAMED)} then regexp_extract_all({t}, {quoted(NAMED)}, 1) end"
-    values = f"array_distinct(concat(coalesce(regexp_extract_all({t}, {quoted(LONG)}, 0), array()), coalesce({named}, array())))"
+
+    def places(pattern: str, group: str) -> str:
+        """Every match as (v, at): what stands between the matches tells where they are."""
+        gaps, whole, values = f"split({t}, {quoted(pattern)}, -1)", f"regexp_extract_all({t}, {quoted(pattern)}, 0)", f"regexp_extract_all({t}, {quoted(pattern)}, {group})"
+        ends = "named_struct('v', x.`1`, 'w', length(x.`0`), 'g', length(x.`2`))"
+        step = "named_struct('at', s.at + x.g + x.w, 'l', concat(s.l, array(named_struct('v', x.v, 'at', s.at + x.g + x.w - length(x.v) + 1))))"
+        rows = f"transform(arrays_zip({whole}, {values}, {gaps}), x -> {ends})"
+        none = "named_struct('at', 0, 'l', cast(array() as array<struct<v: string, at: int>>))"
+        return f"case when {t} rlike {quoted(pattern)} then aggregate(filter({rows}, x -> x.v is not null), {none}, (s, x) -> {step}).l else cast(array() as array<struct<v: string, at: int>>) end"
+
+    values = f"array_distinct(concat({places(LONG, '0')}, {places(NAMED, '1')}))"
     around = (
-        f"transform(_values, v -> named_struct('v', v, 'at', cast(locate(v, {t}) as bigint), "
-        f"'pre', substring({t}, greatest(locate(v, {t}) - 48, 1), least(48, locate(v, {t}) - 1)), 'post', substring({t}, locate(v, {t}) + length(v), 24), 'path', {path}))"
+        f"transform(_values, p -> named_struct('v', p.v, 'at', cast(p.at as bigint), "
+        f"'pre', substring({t}, greatest(p.at - 48, 1), least(48, p.at - 1)), 'post', substring({t}, p.at + length(p.v), 24), 'path', {path}))"
     )
     scored = f"transform({_featured('_around')}, f -> named_struct('v', f.v, 'at', f.at, 'score', {forest}))"
-    told = f"array_sort(transform(_scored, s -> named_struct('at', s.at, 'v', s.v, 'score', s.score, 'is_secret', s.score >= {at_least}D)))"
+    # the places of each value: the highest score of them counts
+    each = "transform(array_distinct(transform(_scored, s -> s.v)), v -> named_struct('v', v, 'p', filter(_scored, s -> s.v = v)))"
+    summed = f"transform({each}, e -> named_struct('v', e.v, 'starts', array_sort(transform(e.p, s -> s.at)), 'score', array_max(transform(e.p, s -> s.score))))"
+    told = f"array_sort(transform({summed}, s -> named_struct('at', s.starts[0], 'v', s.v, 'score', s.score, 'is_secret', s.score >= {at_least}D, 'starts', s.starts)))"
     return (
         docs.withColumn("_values", F.expr(values))
         .withColumn("_around", F.when(F.size("_values") > 0, F.expr(around)))
@@ -191,7 +206,7 @@ def with_findings(docs: DataFrame, text_col: str = "text", path_col: str | None
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", forest: str | None = None, at_least: float = 0.5) -> DataFrame:
-    """One row for each distinct candidate of a text: id, start (from 1), n_chars, value_sha256, score, is_secret."""
+    """One row for each distinct candidate of a text: id, start (from 1), n_chars, value_sha256, score, is_secret, starts (all places)."""
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), (F.col(path_col).cast("string") if path_col else F.lit("")).alias("_path"))
     found = with_findings(slim, "_text", "_path", forest, at_least).select("_id", F.explode("findings").alias("f"))
     return found.select(
@@ -201,6 +216,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_c
         F.sha2(F.col("f.v"), 256).alias("value_sha256"),
         F.col("f.score").alias("score"),
         F.col("f.is_secret").alias("is_secret"),
+        F.col("f.starts").alias("starts"),
     )
 
 
