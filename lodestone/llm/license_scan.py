@@ -20,6 +20,9 @@ given more texts.
 
 from __future__ import annotations
 
+import hashlib
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +42,9 @@ SPELLINGS = [
 ]
 #: Lines that name the holder of the rights, not the terms.
 COPYRIGHT = "^[ \\t#*/;-]*(copyright|\\(c\\)|\u00a9|all rights reserved)[^\\n]*"
+#: A line that says only this names no holder: it is the licence, where nothing else is left of a text.
+RESERVED = "all rights reserved"
+RESERVED_LINE = "(?dm)^[ \\t#*/;-]*" + RESERVED + "[^\\p{L}\\p{N}\\n]*$"
 PARAGRAPH = "\\n([ \\t\\r]*\\n)+"
 
 # Public licence texts and the notices that name a licence.
@@ -97,6 +103,29 @@ Unless required by applicable law or agreed to in writing, software distributed
 }
 
 
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+_BSD_3 = """
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+"""
+_BSD_END = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+
+
+def whole_texts() -> dict[str, list[str]]:
+    """Licence files in full; KNOWN has the notices and short texts."""
+    out = {p.stem: [p.read_text()] for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
+    for name, title, body in (("BSD-2-Clause", "BSD 2-Clause License", _BSD + _BSD_END), ("BSD-3-Clause", "BSD 3-Clause License", _BSD + _BSD_3 + _BSD_END)):
+        out[name] = [body, title + "\n\n" + body]
+        out[name] += [t.replace("\n1. ", "\n* ").replace("\n2. ", "\n* ").replace("\n3. ", "\n* ") for t in out[name]]
+    return out | {"all-rights-reserved": ["All rights reserved."]}
+
+
 def canonical(text: Column) -> Column:
     """The canonical form of an entire text; empty if nothing is left."""
     out = F.regexp_replace(F.lower(text), "(?dm)" + COPYRIGHT, " ")
@@ -105,14 +134,17 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
 
 
-def digest(canon: Column) -> Column:
-    return F.when(F.length(canon) > 0, F.sha2(canon, 256))
+def digest(text: Column) -> Column:
+    """The digest of the canonical form; null if nothing is left."""
+    canon = canonical(text)
+    reserved = F.when(F.lower(text).rlike(RESERVED_LINE), F.lit(hashlib.sha256(RESERVED.encode()).hexdigest()))
+    return F.when(F.length(canon) > 0, F.sha2(canon, 256)).otherwise(reserved)
 
 
 def known_digests(spark: SparkSession, known: dict[str, list[str]] | None = None) -> DataFrame:
     """(digest, license): one row for each known text."""
-    rows = [(name, text) for name, texts in (known or KNOWN).items() for text in texts]
-    return spark.createDataFrame(rows, "license string, text string").select(digest(canonical(F.col("text"))).alias("digest"), "license").where("digest is not null").distinct()
+    rows = [(name, text) for group in ([known] if known else [KNOWN, whole_texts()]) for name, texts in group.items() for text in texts]
+    return spark.createDataFrame(rows, "license string, text string").select(digest(F.col("text")).alias("digest"), "license").where("digest is not null").distinct()
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: dict[str, list[str]] | None = None) -> DataFrame:
@@ -126,11 +158,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known:
     table = known_digests(spark, known)
     lookup = F.create_map(*[F.lit(x) for r in table.orderBy("digest").collect() for x in (r.digest, r.license)])  # as many as known texts
     text = F.col("_text")
-    named = lambda unit: lookup[digest(canonical(unit))]
+    named = lambda unit: lookup[digest(unit)]
     parts = F.array_distinct(F.concat(F.split(text, "\n", -1), F.split(text, PARAGRAPH, -1)))
     parts = F.filter(parts, lambda x: x != text)  # the whole text is looked up by itself
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    found = slim.select("_id", digest(canonical(text)).alias("text_digest"), F.transform(parts, named).alias("_parts"))
+    found = slim.select("_id", digest(text).alias("text_digest"), F.transform(parts, named).alias("_parts"))
     rows = found.join(F.broadcast(table.withColumnsRenamed({"digest": "text_digest", "license": "whole_license"})), "text_digest", "left")
     every = F.filter(F.array_append(F.coalesce("_parts", F.array().cast("array<string>")), F.col("whole_license")), lambda x: x.isNotNull())
     return rows.select(F.col("_id").alias(id_col), "text_digest", "whole_license", F.array_join(F.array_sort(F.array_distinct(every)), ",").alias("licenses"))
