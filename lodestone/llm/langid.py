@@ -11,8 +11,10 @@ once), and that mean is its score; ``word_marginals`` gives the labels of code-s
 text word by word.
 
 Training reads labelled rows only, a bounded sample of them: at most
-``per_language`` documents a language in the order of a hash of the id, and of
-these at most ``words_each`` words (parameters). Prediction reads whole texts
+``per_language`` documents a language in the order of a hash of the id, so many
+fewer where there are over ``most_rows`` / ``per_language`` languages that the
+sample stays under ``most_rows``, and of these at most ``words_each`` words
+(parameters). Prediction reads whole texts
 and nothing but texts.
 
 Null text and text without a letter give ``und`` with score 0; so does every
@@ -56,7 +58,9 @@ def features(word: str) -> list[int]:
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    """Runs of letters; numerals that aren't digits (fractions, Roman and circled numbers) may stand in a word but make none."""
+    found = WORD.findall(text.lower()) if text else []
+    return found if not found or text.isascii() else [w for w in found if w.isalpha() or any(map(str.isalpha, w))]
 
 
 class Chain:
@@ -172,8 +176,12 @@ class Chain:
         return langs, scores
 
 
-def fit(rows: list[tuple[str | None, str]], words_each: int = 64, rounds: int = 45, rate: float = 0.12, decay: float = 1e-4) -> Chain:
-    """Fit a chain on ``(text, language)`` rows by gradient steps on the likelihood."""
+def fit(rows: list[tuple[str | None, str]], words_each: int = 64, rounds: int = 45, rate: float = 0.12, decay: float = 1e-4, seed: int = 23) -> Chain:
+    """Fit a chain on ``(text, language)`` rows by gradient steps on the likelihood.
+
+    Rows have one language each; sequences that change it in the middle are put
+    together from them.
+    """
     languages = sorted({lang for _, lang in rows})
     k = len(languages)
     vocab: dict[str, int] = {}
@@ -183,7 +191,13 @@ def fit(rows: list[tuple[str | None, str]], words_each: int = 64, rounds: int =
         ids = [vocab.setdefault(w, len(vocab)) for w in words]
         for i in range(0, len(ids), WINDOW):
             seqs.append(ids[i : i + WINDOW])
-            gold.append(languages.index(lang))
+            gold.append([languages.index(lang)] * len(seqs[-1]))
+    # a switched sequence for every four plain ones, the head of one and the tail of another,
+    # so that moves between languages are seen too
+    order = np.random.default_rng(seed).permutation(len(seqs)).tolist()
+    for i, j in zip(order[0 : len(order) // 2 : 2], order[1 : len(order) // 2 : 2]):
+        seqs.append(seqs[i][: WINDOW // 2] + seqs[j][-WINDOW // 2 :])
+        gold.append(gold[i][: WINDOW // 2] + gold[j][-WINDOW // 2 :])
     weights, trans = np.zeros((BUCKETS, k), np.float32), np.zeros((k, k))
     if k < 2 or not seqs:
         return Chain(languages, weights, trans)
@@ -197,7 +211,11 @@ def fit(rows: list[tuple[str | None, str]], words_each: int = 64, rounds: int =
     for i, s in enumerate(seqs):
         pad[i, : len(s)] = s
     live = np.arange(WINDOW)[None] < n[:, None]
-    gold = np.array(gold)
+    own = np.zeros((k, k))  # moves that were seen
+    seen = np.zeros((len(seqs), WINDOW, k))
+    for i, labels in enumerate(gold):
+        seen[i, np.arange(len(labels)), labels] = 1
+        np.add.at(own, (labels[:-1], labels[1:]), 1)
     m1, m2 = [np.zeros_like(weights), np.zeros_like(trans)], [np.zeros_like(weights), np.zeros_like(trans)]
     for step in range(1, rounds + 1):
         score = np.add.reduceat(weights[flat], starts) * scale[:, None]
@@ -214,8 +232,6 @@ def fit(rows: list[tuple[str | None, str]], words_each: int = 64, rounds: int =
             beta[:, t] = np.where(live[:, t + 1, None], b / b.sum(1, keepdims=True), 1)
         marg = alpha * beta
         marg /= marg.sum(2, keepdims=True)
-        seen = np.zeros_like(marg)
-        seen[np.arange(len(seqs)), :, gold] = 1
         off = (seen - marg) * live[:, :, None]
         by_word = np.stack([np.bincount(pad.ravel(), off[:, :, y].ravel(), len(feats)) for y in range(k)], 1) * scale[:, None]
         grad_w = np.stack([np.bincount(flat, by_word[of, y], BUCKETS) for y in range(k)], 1) / len(seqs) - decay * weights
@@ -224,8 +240,6 @@ def fit(rows: list[tuple[str | None, str]], words_each: int = 64, rounds: int =
             p = alpha[:, t - 1, :, None] * move[None] * (e[:, t] * beta[:, t])[:, None, :]
             p /= p.sum((1, 2), keepdims=True)
             pairs += (p * live[:, t, None, None]).sum(0)
-        own = np.zeros((k, k))
-        np.add.at(own, (gold, gold), np.maximum(n - 1, 0))
         grad_t = (own - pairs) / len(seqs) - 1e-2 * trans
         for x, g, a, b in ((weights, grad_w, m1, m2), (trans, grad_t, m1, m2)):
             j = int(x is trans)
@@ -235,12 +249,15 @@ def fit(rows: list[tuple[str | None, str]], words_each: int = 64, rounds: int =
     return Chain(languages, weights, trans)
 
 
-def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, words_each: int) -> list[tuple[str | None, str]]:
+def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, words_each: int, most_rows: int) -> list[tuple[str | None, str]]:
     """The bounded training sample: rows per language in hash order, first words only."""
     w = Window.partitionBy("lang").orderBy("h", "key", "text")
+    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    languages = labelled.agg(F.count_distinct(lang_col)).first()[0]
+    per_language = max(1, min(per_language, most_rows // max(1, languages)))
     rows = (
-        docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-        .select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(id_col).cast("string").alias("key"), F.col(lang_col).alias("lang"), F.substring(F.col(text_col), 1, words_each * 12).alias("text"))
+        labelled
+        .select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(id_col).cast("string").alias("key"), F.col(lang_col).alias("lang"), F.substring(F.col(text_col).cast("string"), 1, words_each * 12).alias("text"))
         .withColumn("r", F.row_number().over(w))
         .where(F.col("r") <= per_language)
         .orderBy("lang", "r")
@@ -250,8 +267,8 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     return [(r.text, r.lang) for r in rows]
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 300, words_each: int = 64) -> Chain:
-    return fit(labelled_sample(docs, id_col, text_col, lang_col, per_language, words_each), words_each)
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 300, words_each: int = 64, most_rows: int = 60_000) -> Chain:
+    return fit(labelled_sample(docs, id_col, text_col, lang_col, per_language, words_each, most_rows), words_each)
 
 
 _LIVE: dict[str, Chain] = {}
