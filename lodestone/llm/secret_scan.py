@@ -7,7 +7,8 @@ features (length, shares and transitions of character classes, entropy,
 dictionary coverage, path, neighbouring words), and the forest, trained from
 labelled findings by MLlib in the JVM, is written out as one SQL expression: the
 share of its trees that vote for a secret. A text is scored where it is read;
-there is no shuffle, join or Python worker.
+there is no shuffle, join or Python worker. No length is capped: a run of any
+length is one candidate, a key block reaches to its end line whatever stands in it.
 
 ``scan`` gives one row for each distinct candidate of a text, ``redact`` replaces
 the found secrets in the texts. Null and empty texts have no candidates and stay
@@ -42,9 +43,10 @@ COMMON_PAIRS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|t
 
 #: Makes that are known by their first letters; these need no digit.
 SHAPES = r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9+/_-])|gh[pousr]_|github_pat_|xox[abprs]-|sk[-_]|AIza|eyJ|glpat-"
-PEM = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[^-]++|-(?!----(?:BEGIN|END) [A-Z ]{0,30}PRIVATE KEY-----))*+-----END [A-Z ]{0,30}PRIVATE KEY-----"
-LONG = PEM + r"|(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]{0,200}[0-9])|(?=" + SHAPES + r"))[A-Za-z0-9+/_-]{16,}={0,2}"
-NAMED = r"(?i)(?:passw(?:or)?d|passwd|pwd|secret|token|(?:api|access|auth|private|secret)[_-]?key(?:[_-]?id)?)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"'=:,;]{6,})"
+PEM_NAME = r"[A-Z0-9 ]*?PRIVATE KEY(?: BLOCK)?-----"
+PEM = rf"-----BEGIN {PEM_NAME}(?:[^-]++|-(?!----(?:BEGIN|END) {PEM_NAME}))*+-----END {PEM_NAME}"
+LONG = PEM + r"|(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]*+[0-9])|(?=" + SHAPES + r"))[A-Za-z0-9+/_-]{16,}={0,2}"
+NAMED = r"(?i)(?:passw(?:or)?d|passwd|pwd|secret|token|(?:api|access|auth|private|secret)[_-]?key(?:[_-]?id)?)[\"']?\s*+[:=]\s*+[\"']?([^\s\"'=:,;]{6,})"
 
 #: Feature name and SQL over ``v`` (candidate), ``pre`` and ``post`` (neighbours) and ``path``.
 FEATURES = {
@@ -169,12 +171,13 @@ def default_forest(spark: SparkSession) -> str:
 
 
 def with_findings(docs: DataFrame, text_col: str = "text", path_col: str | None = None, forest: str | None = None, at_least: float = 0.5, out: str = "findings") -> DataFrame:
-    """Adds ``out``: array of (at, v, score, is_secret, starts) of the distinct candidates, in the order of their first places.
+    """Adds ``out`` (in place of a column of that name): array of (at, v, score, is_secret, starts) of the distinct candidates, in the order of their first places.
 
     Every place is scored with its own neighbours; the highest score is the candidate's.
     """
     forest = forest or default_forest(docs.sparkSession)
-    t, path = f"cast(`{text_col}` as string)", f"coalesce(cast(`{path_col}` as string), '')" if path_col else "''"
+    own = {c: f"d{i}" for i, c in enumerate(docs.columns)}  # so that no column of the caller's meets ours
+    t, path = f"cast({own[text_col]} as string)", f"coalesce(cast({own[path_col]} as string), '')" if path_col else "''"
     quoted = lambda p: "r'" + p.replace("'", "\\x27") + "'"
 
     def places(pattern: str, group: str) -> str:
@@ -196,12 +199,13 @@ def with_findings(docs: DataFrame, text_col: str = "text", path_col: str | None
     each = "transform(array_distinct(transform(_scored, s -> s.v)), v -> named_struct('v', v, 'p', filter(_scored, s -> s.v = v)))"
     summed = f"transform({each}, e -> named_struct('v', e.v, 'starts', array_sort(transform(e.p, s -> s.at)), 'score', array_max(transform(e.p, s -> s.score))))"
     told = f"array_sort(transform({summed}, s -> named_struct('at', s.starts[0], 'v', s.v, 'score', s.score, 'is_secret', s.score >= {at_least}D, 'starts', s.starts)))"
+    kept = [F.col(n).alias(c) for c, n in own.items() if c != out]
     return (
-        docs.withColumn("_values", F.expr(values))
+        docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()])
+        .withColumn("_values", F.expr(values))
         .withColumn("_around", F.when(F.size("_values") > 0, F.expr(around)))
         .withColumn("_scored", F.when(F.size("_values") > 0, F.expr(scored)))
-        .withColumn(out, F.when(F.size("_values") > 0, F.expr(told)))
-        .drop("_values", "_around", "_scored")
+        .select(*kept, F.when(F.size("_values") > 0, F.expr(told)).alias(out))
     )
 
 
@@ -222,8 +226,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_c
 
 def redact(docs: DataFrame, text_col: str = "text", path_col: str | None = None, forest: str | None = None, at_least: float = 0.5) -> DataFrame:
     """The same rows and columns, every found secret in the texts replaced by a mark."""
-    found = with_findings(docs, text_col, path_col, forest, at_least, "_findings")
+    name = next(f"_findings{i}" for i in range(len(docs.columns) + 1) if f"_findings{i}" not in docs.columns)
+    found = with_findings(docs, text_col, path_col, forest, at_least, name)
     # longer secrets first: one may hold another
-    secrets = "array_sort(transform(filter(_findings, f -> f.is_secret), f -> f.v), (a, b) -> length(b) - length(a))"
-    clean = f"case when exists(_findings, f -> f.is_secret) then aggregate({secrets}, cast(`{text_col}` as string), (t, s) -> replace(t, s, '{MARK}')) else cast(`{text_col}` as string) end"
-    return found.withColumn(text_col, F.expr(clean)).drop("_findings")
+    secrets = f"array_sort(transform(filter({name}, f -> f.is_secret), f -> f.v), (a, b) -> length(b) - length(a))"
+    clean = f"case when exists({name}, f -> f.is_secret) then aggregate({secrets}, cast(`{text_col}` as string), (t, s) -> replace(t, s, '{MARK}')) else cast(`{text_col}` as string) end"
+    return found.withColumn(text_col, F.expr(clean)).select(*[F.col(f"`{c}`") for c in docs.columns])
