@@ -119,14 +119,14 @@ def source_seats(targets: DataFrame, seats: int, block: int, most: int) -> DataF
     return base.join(extra, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("seats", F.col("seats") + F.coalesce("one", F.lit(0))).drop("s", "one", "room")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = 3, seed: int = SEED) -> DataFrame:
-    """The rows of ``docs`` with size, source_size, target, taken and pieces.
+def numbered(docs: DataFrame, column: str) -> str:
+    return f"d{docs.columns.index(column)}"
 
-    ``taken`` counts the words the mix takes of the row, repeats included;
-    ``pieces`` has them as ranges [start, end) of its words. The rows are shuffled
-    once, by source and shard; sources and cells are the only other tables.
-    """
-    added = [c for c in ("size", "source_size", "target", "taken", "pieces") if c in docs.columns]
+
+def _mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = 3, seed: int = SEED) -> DataFrame:
+    """The columns of ``docs`` as d0, d1, ... (so that none of them meets ours), and size, source_size, target, taken, pieces."""
+    id_col, text_col, source_col = (numbered(docs, c) for c in (id_col, text_col, source_col))
+    docs = docs.select(*[F.col(f"`{c}`").alias(f"d{i}") for i, c in enumerate(docs.columns)])
     key = F.xxhash64(F.col(id_col).cast("string"), F.lit(seed))
     slim = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col)).alias("size")), "mix-sizes")
     shards = max(1, math.ceil(slim.count() / SHARD_DOCS))
@@ -148,7 +148,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     q = quotas.select(F.col("source").alias("_qs"), F.col("shard").alias("_qshard"), "cell", "quota")
     t = targets.select(F.col("source").alias("_ts"), "source_size", "target")
-    rows = docs.drop(*added).withColumns({"_source": F.col(source_col).cast("string"), "size": size_of(F.col(text_col)), "_key": key, "_shard": F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed + 1)), F.lit(shards))})
+    rows = docs.withColumns({"_source": F.col(source_col).cast("string"), "size": size_of(F.col(text_col)), "_key": key, "_shard": F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed + 1)), F.lit(shards))})
     rows = rows.join(t, F.col("_source").eqNullSafe(F.col("_ts")), "left").join(q, F.col("_source").eqNullSafe(F.col("_qs")) & (F.col("_shard") == F.col("_qshard")), "left")
     w = Window.partitionBy("_source", "_shard").orderBy("_key", id_col, "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("_c0", F.sum("size").over(w) - F.col("size"))
@@ -171,8 +171,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         "else cast(array() as array<struct<start: bigint, end: bigint>>) end"
     )
     rows = rows.withColumn("pieces", sql(pieces)).withColumn("taken", sql("aggregate(pieces, cast(0 as bigint), (n, p) -> n + p.end - p.start)"))
-    keep = [c for c in docs.columns if c not in added]
-    return rows.select(*keep, "size", F.coalesce("source_size", F.lit(0)).alias("source_size"), "target", "taken", "pieces")
+    return rows.select(*docs.columns, "size", F.coalesce("source_size", F.lit(0)).alias("source_size"), "target", "taken", "pieces")
+
+
+ADDED = ("size", "source_size", "target", "taken", "pieces")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = 3, seed: int = SEED) -> DataFrame:
+    """The rows of ``docs`` with size, source_size, target, taken and pieces (in place of columns of these names).
+
+    ``taken`` counts the words the mix takes of the row, repeats included;
+    ``pieces`` has them as ranges [start, end) of its words. The rows are shuffled
+    once, by source and shard; sources and cells are the only other tables.
+    """
+    rows = _mixed(docs, id_col, text_col, source_col, most, seed)
+    return rows.select(*[F.col(numbered(docs, c)).alias(c) for c in docs.columns if c not in ADDED], *ADDED)
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = 3, seed: int = SEED) -> DataFrame:
@@ -181,10 +194,11 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A piece that is a whole document keeps its text as it is; the few that are
     cut at the edge of a block have their words joined by a space.
     """
-    rows = mix(docs, id_col, text_col, source_col, most, seed).select(*docs.columns, F.col("size").alias("_size"), F.explode("pieces").alias("_p"))
-    part = F.expr(f"array_join(slice(regexp_extract_all(`{text_col}`, r'{WORD}', 0), cast(_p.start + 1 as int), cast(_p.end - _p.start as int)), ' ')")
-    text = F.when((F.col("_p.start") == 0) & (F.col("_p.end") == F.col("_size")), F.col(text_col)).otherwise(part)
-    return rows.withColumn(text_col, text).select(*docs.columns)
+    rows = _mixed(docs, id_col, text_col, source_col, most, seed).withColumn("piece", F.explode("pieces"))
+    text = numbered(docs, text_col)
+    part = F.expr(f"array_join(slice(regexp_extract_all(cast({text} as string), r'{WORD}', 0), cast(piece.start + 1 as int), cast(piece.end - piece.start as int)), ' ')")
+    whole = (F.col("piece.start") == 0) & (F.col("piece.end") == F.col("size"))
+    return rows.select(*[(F.when(whole, F.col(text)).otherwise(part) if c == text_col else F.col(numbered(docs, c))).alias(c) for c in docs.columns])
 
 
 TARGETS_SQL = f"""
