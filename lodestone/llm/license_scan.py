@@ -1,7 +1,7 @@
 """License scans by canonical digest lookup, in DataFrame operations only.
 
-A text is brought to a canonical form: lower case, copyright lines taken out,
-equivalent spellings made one, punctuation and white space runs to one space.
+A text is brought to a canonical form: lower case, lines that name the
+holder taken out (a wrapped sentence of the terms that begins with "copyright" stays), equivalent spellings made one, punctuation and white space runs to one space.
 Whole canonical texts are hashed and the digests joined with those of the known
 licences. The scan does this for every whole document, and looks digests up in the
 same table for every line and
@@ -26,24 +26,37 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Pairs of a spelling and the one it is made into, after lower-casing.
+# Pairs of a spelling and the one it is made into, after punctuation and white space are single spaces.
 SPELLINGS = [
     ("licence", "license"),
-    ("sub-license", "sublicense"),
-    ("sub license", "sublicense"),
-    ("non-infringement", "noninfringement"),
-    ("non-commercial", "noncommercial"),
-    ("https://", "http://"),
-    ("version ", "v"),
-    ("per cent", "percent"),
+    (" sub license", " sublicense"),
+    (" non infringement", " noninfringement"),
+    (" non commercial", " noncommercial"),
+    (" https ", " http "),
+    (" version ", " v"),
+    (" v ", " v"),
+    (" per cent", " percent"),
     ("favour", "favor"),
-    ("whilst", "while"),
-    ("wilful", "willful"),
+    (" whilst ", " while "),
+    (" wilful", " willful"),
 ]
-#: Lines that name the holder of the rights, not the terms.
-COPYRIGHT = "^[ \\t#*/;-]*(copyright|\\(c\\)|\u00a9|all rights reserved)[^\\n]*"
+# Words that follow "copyright" in the terms themselves, where a line may begin with it by its wrapping.
+TERMS = (
+    "act acts and are as disclaimer doctrines for holder holders if in information infringement interest interests is law laws licence licences "
+    "license licenses line lines notice notices of on or owner owners ownership permission permissions protection right rights statement statements "
+    "that the therein to treaties treaty"
+).split()
+TERM = "([ \\t]+(" + "|".join(TERMS) + ")\\b)"
+#: Lines that name the holder of the rights, not the terms: "copyright" with a sign, a year or a name; a sign with a year.
+COPYRIGHT = (
+    "^[ \\t#*/;-]*(copyright([ \\t]*(\\(c\\)|\u00a9|:|[0-9]{4})|[ \\t]+[\\p{L}<\\[])|\\(c\\)[ \\t]*[0-9]{4}|\u00a9|all rights reserved)[^\\n]*"
+)
+#: Stands before a "copyright" that belongs to the terms while such lines are taken out.
+KEPT = "\u0001"
+TERM_LINE = "^([ \\t#*/;-]*)(copyright" + TERM + ")"
 #: A line that says only this names no holder: it is the licence, where nothing else is left of a text.
 RESERVED = "all rights reserved"
+RESERVED_SQL = "(?m)^[ \\t#*/;-]*" + RESERVED + "[^\\p{L}\\p{N}\\n]*$"
 RESERVED_LINE = "(?dm)^[ \\t#*/;-]*" + RESERVED + "[^\\p{L}\\p{N}\\n]*$"
 PARAGRAPH = "\\n([ \\t\\r]*\\n)+"
 
@@ -128,10 +141,12 @@ def whole_texts() -> dict[str, list[str]]:
 
 def canonical(text: Column) -> Column:
     """The canonical form of an entire text; empty if nothing is left."""
-    out = F.regexp_replace(F.lower(text), "(?dm)" + COPYRIGHT, " ")
+    out = F.regexp_replace(F.lower(text), "(?dm)" + TERM_LINE, "$1" + KEPT + "$2")
+    out = F.replace(F.regexp_replace(out, "(?dm)" + COPYRIGHT, " "), F.lit(KEPT), F.lit(""))
+    out = F.regexp_replace(F.concat(F.lit(" "), out, F.lit(" ")), r"[^\p{L}\p{N}]+", " ")
     for a, b in SPELLINGS:
         out = F.replace(out, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
+    return F.trim(out)
 
 
 def digest(text: Column) -> Column:
@@ -141,10 +156,19 @@ def digest(text: Column) -> Column:
     return F.when(F.length(canon) > 0, F.sha2(canon, 256)).otherwise(reserved)
 
 
+def variants(text: str) -> list[str]:
+    """A known text, and the same without its title where it begins with one."""
+    title, _, rest = text.strip().partition("\n\n")
+    return [text, rest] if len(rest) > 200 and len(title) < 80 else [text]
+
+
+def known_rows(known: dict[str, list[str]] | None = None) -> list[tuple[str, str]]:
+    return [(name, v) for group in ([known] if known else [KNOWN, whole_texts()]) for name, texts in group.items() for text in texts for v in variants(text)]
+
+
 def known_digests(spark: SparkSession, known: dict[str, list[str]] | None = None) -> DataFrame:
     """(digest, license): one row for each known text."""
-    rows = [(name, text) for group in ([known] if known else [KNOWN, whole_texts()]) for name, texts in group.items() for text in texts]
-    return spark.createDataFrame(rows, "license string, text string").select(digest(F.col("text")).alias("digest"), "license").where("digest is not null").distinct()
+    return spark.createDataFrame(known_rows(known), "license string, text string").select(digest(F.col("text")).alias("digest"), "license").where("digest is not null").distinct()
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: dict[str, list[str]] | None = None) -> DataFrame:
@@ -168,24 +192,29 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known:
     return rows.select(F.col("_id").alias(id_col), "text_digest", "whole_license", F.array_join(F.array_sort(F.array_distinct(every)), ",").alias("licenses"))
 
 
-def oracle(table: str = "documents") -> str:
+def oracle() -> str:
     """The scan as DuckDB SQL."""
     quote = lambda x: x.replace("'", "''")
 
     def canon(x: str) -> str:
-        out = f"regexp_replace(lower({x}), '(?m){COPYRIGHT}', ' ', 'g')"
+        out = f"regexp_replace(lower({x}), '(?m){TERM_LINE}', '\\1' || chr(1) || '\\2', 'g')"
+        out = f"replace(regexp_replace({out}, '(?m){COPYRIGHT}', ' ', 'g'), chr(1), '')"
+        out = f"regexp_replace(' ' || {out} || ' ', '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')"
         for a, b in SPELLINGS:
             out = f"replace({out}, '{a}', '{b}')"
-        return f"trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+        return f"trim({out})"
+
+    def told(x: str) -> str:
+        return f"CASE WHEN {canon(x)} <> '' THEN sha256({canon(x)}) WHEN regexp_matches(lower({x}), '{RESERVED_SQL}') THEN sha256('{RESERVED}') END"
 
-    rows = ", ".join(f"('{quote(n)}', '{quote(t)}')" for n, ts in KNOWN.items() for t in ts)
+    rows = ", ".join(f"('{quote(n)}', '{quote(t)}')" for n, t in known_rows())
     return f"""
-WITH k AS (SELECT DISTINCT sha256({canon('t')}) AS digest, n AS license FROM (VALUES {rows}) v(n, t)),
-w AS (SELECT doc_id, text, row_number() OVER () AS r, nullif({canon('text')}, '') AS c FROM documents),
+WITH k AS (SELECT DISTINCT {told('t')} AS digest, n AS license FROM (VALUES {rows}) v(n, t)),
+w AS (SELECT doc_id, text, row_number() OVER () AS r, {told('text')} AS digest FROM documents),
 u AS (SELECT r, unnest(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '{PARAGRAPH}'))) AS part FROM w WHERE text IS NOT NULL),
-h AS (SELECT r, license FROM (SELECT r, sha256(nullif({canon('part')}, '')) AS digest FROM u) x JOIN k USING (digest)
-  UNION SELECT r, license FROM w JOIN k ON k.digest = sha256(w.c)),
+h AS (SELECT r, license FROM (SELECT r, {told('part')} AS digest FROM u) x JOIN k USING (digest)
+  UNION SELECT r, license FROM w JOIN k USING (digest)),
 g AS (SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses FROM h GROUP BY r)
-SELECT w.doc_id, sha256(w.c) AS text_digest, k.license AS whole_license, coalesce(g.licenses, '') AS licenses
-FROM w LEFT JOIN k ON k.digest = sha256(w.c) LEFT JOIN g ON g.r = w.r
+SELECT w.doc_id, w.digest AS text_digest, k.license AS whole_license, coalesce(g.licenses, '') AS licenses
+FROM w LEFT JOIN k USING (digest) LEFT JOIN g ON g.r = w.r
 """
