@@ -35,12 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)|[^<]+|<""", re.S)
-NAMES = re.compile(r"""\b(class|id|role|data-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+NAMES = re.compile(r"""(?<![^\s"'/])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 # Elements of HTML by how they are laid out.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript template iframe svg math select option datalist object audio video canvas head".split())
+TO_THE_END = {"script", "style"}  # what isn't closed reaches to the end of the page; of the others only the tag is markup
+TO_THE_END = {"script", "style"}  # what isn't closed reaches to the end of the page; of the others only the tag is markup
 BLOCK = set(
     "html body div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption section article main aside nav header footer form fieldset "
     "blockquote pre figure figcaption address details summary center hr dialog menu hgroup search".split()
@@ -49,22 +51,41 @@ CLOSES_P = BLOCK - {"html", "body"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
 
-# Words of class, id and role, by what they tell.
+# Words of class, id and role, by what they tell. A name tells it wherever such a word stands in it.
 HINTS = {
-    "menu": "nav navbar navigation menu breadcrumb breadcrumbs toc pager pagination tabs topbar links skip",
-    "head": "header masthead banner top logo",
-    "foot": "footer bottom copyright colophon contentinfo",
-    "side": "sidebar side aside rail related widget recommended more complementary trending popular",
-    "ad": "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion commercial adsense",
-    "note": "cookie cookies consent notice notices alert popup modal gdpr newsletter subscribe subscription share sharing social toolbar banner warning message overlay",
-    "talk": "comment comments reply replies discussion disqus respond reviews feedback",
+    "menu": "nav navbar navigation menu breadcrumb breadcrumbs toc pager pagination topbar",
+    "head": "masthead",
+    "foot": "footer colophon contentinfo",
+    "side": "sidebar complementary trending",
+    "ad": "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion adsense",
+    "note": "cookie cookies consent popup modal gdpr newsletter subscribe subscription share sharing social toolbar",
+    "talk": "comment comments disqus respond",
     "form": "form search login signup register",
-    "main": "article content main post entry story body text prose page",
+    "main": "article content main post entry prose",
 }
-HINT_OF: dict[str, list[str]] = {}
-for _kind, _words in HINTS.items():
-    for _w in _words.split():
-        HINT_OF.setdefault(_w, []).append(_kind)
+# Words that tell the same, but only in names made of nothing else than such and plain words.
+LOOSE_HINTS = {
+    "menu": "tabs links skip",
+    "head": "header logo",
+    "foot": "bottom copyright",
+    "side": "side aside rail widget recommended popular",
+    "ad": "commercial",
+    "note": "notice notices alert overlay",
+    "talk": "reply replies reviews feedback",
+    "main": "story body text page",
+    "maybe": "warning message discussion banner related more top highlight",
+}
+# Words of a name that tell nothing.
+NEUTRAL = set(
+    "box list container wrapper wrap area section block site inner outer item items thread left right col column row panel group holder module unit zone slot global "
+    "primary secondary sticky fixed js label title bar meta info small large inline full up posts articles news the my in and".split()
+)
+HINT_OF: dict[str, set[str]] = {}
+LOOSE_OF: dict[str, set[str]] = {}
+for _table, _of in ((HINTS, HINT_OF), (LOOSE_HINTS, LOOSE_OF)):
+    for _kind, _words in _table.items():
+        for _w in _words.split():
+            _of.setdefault(_w, set()).add(_kind)
 
 WEIGHTS = 1 << 12
 EDGES = 6
@@ -72,11 +93,15 @@ EDGES = 6
 
 def hints(attributes: str) -> tuple[str, ...]:
     found: set[str] = set()
-    for name, value in NAMES.findall(attributes):
-        if name.lower() != "data-label":
-            for w in PART.findall(value):
-                found.update(HINT_OF.get(w.lower(), ()))
-    return tuple(sorted(found))
+    for _, value in NAMES.findall(attributes):
+        for name in value.strip("\"'").split():
+            parts = [w.lower() for w in PART.findall(name)]
+            for w in parts:
+                found |= HINT_OF.get(w, set())
+            if all(w in HINT_OF or w in LOOSE_OF or w in NEUTRAL or w.isdigit() for w in parts):
+                for w in parts:
+                    found |= LOOSE_OF.get(w, set())
+    return tuple(sorted(found - {"maybe"} or found))
 
 
 class Page:
@@ -90,6 +115,7 @@ class Page:
         self.size: list[int] = [0]
         self.linked: list[int] = [0]
         self.label: list[int] = [0]
+        self.prose: list[bool] = [False]  # holds a sentence
         self._read(source or "")
 
     def _node(self, parent: int, tag: str, hint: tuple[str, ...], label: int, text: str | None = None, linked: int = 0) -> int:
@@ -100,6 +126,7 @@ class Page:
         self.size.append(len(text) if text else 0)
         self.linked.append(linked)
         self.label.append(label)
+        self.prose.append(bool(text) and len(text) >= 40 and any(c in text for c in ".,;:!?"))
         return len(self.parent) - 1
 
     def _read(self, source: str) -> None:
@@ -154,7 +181,7 @@ class Page:
                     pos = stop.end() if stop else pos
                 elif not given.rstrip().endswith("/"):
                     stop = re.compile(rf"</{name}\b[^>]*(?:>|$)", re.I).search(source, pos)
-                    pos = stop.end() if stop else end
+                    pos = stop.end() if stop else end if name in TO_THE_END else pos
                 run.append(" ")
                 continue
             if name in VOID:
@@ -192,6 +219,7 @@ class Page:
         for i in range(len(self.parent) - 1, 0, -1):
             self.size[self.parent[i]] += self.size[i]
             self.linked[self.parent[i]] += self.linked[i]
+            self.prose[self.parent[i]] |= self.prose[i]
 
     def keys(self) -> list[tuple]:
         """What the unary potential of each node depends on."""
@@ -200,7 +228,8 @@ class Page:
             n, text, parent = self.size[i], self.text[i], self.parent[i]
             share = 0 if not n else min(4, 5 * self.linked[i] // n)
             points = int(any(c in text for c in ".,;:!?")) if text is not None else -1
-            out.append((tag, self.hint[i], min(10, n.bit_length()), share, points, self.tag[parent] if text is not None and parent >= 0 else "", parent == 0))
+            legal = text is not None and bool(LEGAL.search(text)) and (parent <= 0 or self.parent[parent] == 0)
+            out.append((tag, self.hint[i], min(10, n.bit_length()), share, points, self.tag[parent] if text is not None and parent >= 0 else "", parent == 0, self.prose[i], legal))
         return out
 
     def edges(self) -> list[int]:
@@ -221,8 +250,11 @@ PLAIN = set("#text p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table thead tbody tfoot
 def features(key: tuple) -> list[int]:
     """Plain blocks speak by their share of linked text and their hints only, so that
     what an article says of itself isn't outvoted by the look of its many blocks."""
-    tag, hint, size, share, points, above, top = key
-    names = [f"link{share}", f"link{tag}{share}", f"short{above}{share}{min(size, 6)}"] if share else []
+    tag, hint, size, share, points, above, top, prose, legal = key
+    names = [f"link{share}{prose}", f"link{tag}{share}{prose}", f"short{above}{share}{min(size, 6)}"] if share else []
+    names += ["legal"] if legal else []
+    if "maybe" in hint:  # such a name is outweighed by what stands under it
+        return [crc32(n.encode()) % WEIGHTS for n in [*names, f"maybe{top}{share}{prose}", f"maybe{tag}{top}"]]
     if tag not in PLAIN:
         names += [f"tag{tag}", f"part{tag}:{'+'.join(hint)}", f"top{tag}:{top}:{bool(hint)}"]
         if not hint and tag in ("div", "section"):
@@ -231,6 +263,10 @@ def features(key: tuple) -> list[int]:
     return [crc32(n.encode()) % WEIGHTS for n in names] or [0]
 
 
+#: What a page says of its rights, right in the body or one block below it.
+LEGAL = re.compile(r"^(?:©|\(c\) ?[0-9]|copyright\b)|all rights reserved", re.I)
+
+
 class Forest:
     """Nodes of many pages, laid out for messages by depth."""
 
@@ -366,14 +402,28 @@ def labelled_pages(count: int = 480, seed: int = 5) -> list[str]:
     def links(tag: str = "li") -> str:
         return "".join(f'<{tag}><a href="/{word()}">{words(1, 3)}</a></{tag}>' for _ in range(rnd.randint(2, 8)))
 
+    def references() -> str:
+        """What an article cites: whole sentences, linked."""
+        items = "".join(f'<li><a href="/{word()}">{words(6, 14).capitalize()}, {words(1, 3)}. {rnd.randint(1950, 2024)}.</a></li>' for _ in range(rnd.randint(2, 6)))
+        return one(["", "<h2>References</h2>"]) + box(["ul", "ol"], "", items)
+
+    def named_part() -> str:
+        """A part of an article whose name could be that of something around one."""
+        name = one(["discussion", "warning", "message", "related-work", "side-by-side", "banner", "highlight-box", "comparison-header", "read-more-text", "top-story-text"])
+        inner = f"<p>{sentences(1, 3)}</p>" if style == 0 else f"<p>{words(9, 20).capitalize()}, {words(2, 5)}.</p>"
+        return box(["div", "section", "figure"], f' {one(["class", "id", "class", "data-id"])}="{name}"', one(["", f"<h2>{words(1, 3)}</h2>"]) + inner * rnd.randint(1, 2))
+
     def article() -> str:
         out = [f"<h1>{one([words(1, 10), sentences(1, 1)])}</h1>"] if rnd.random() < 0.8 else []
         if out and rnd.random() < 0.15:
             out = [f"<header>{out[0]}</header>"]
         for _ in range(one([0, 1, 2, 4, 8, 14, 25])):
             k = rnd.random()
-            if k < 0.68:
-                out.append(f"<p>{prose()}</p>")
+            if k < 0.06:
+                out.append(named_part())
+            elif k < 0.68:
+                attributes = f' class="{one(["message", "related-work", "lead", "highlight"])}"' if rnd.random() < 0.04 else ""
+                out.append(f"<p{attributes}>{sentences(1, 4) if attributes else prose()}</p>")
             elif k < 0.74:
                 out.append(f"<p><b>{prose()}<br>")
             elif k < 0.8:
@@ -384,8 +434,10 @@ def labelled_pages(count: int = 480, seed: int = 5) -> list[str]:
                 out.append(f"<blockquote>{sentences(1, 3)}</blockquote>")
             elif k < 0.92:
                 out.append("<table>" + "".join(f"<tr><td>{words(1, 3)}</td><td>{words(1, 6)}</td></tr>" for _ in range(rnd.randint(1, 4))) + "</table>")
-            elif k < 0.95:
+            elif k < 0.94:
                 out.append(f"<div>{prose()}</div>")
+            elif k < 0.95:
+                out.append(references())
             elif k < 0.97:
                 out.append(f"<figure><img src=x><figcaption>{words(2, 8)}</figcaption></figure>")
             else:
@@ -429,6 +481,8 @@ def labelled_pages(count: int = 480, seed: int = 5) -> list[str]:
                 junk,
                 junk,
                 lambda: f"<ul>{links()}</ul>",
+                lambda: f"<table><tr>{links('td')}</tr></table>",
+                lambda: box(["div", "section"], named(["related", "banner", "message", "more", "top", "related-posts"]), one([some(), words(2, 8), f"<ul>{links()}</ul>"])),
                 lambda: f"<header>{box(['h1', 'h2', 'div', 'p'], '', words(1, 5))}{one(['', f'<p>{sentences(1, 2)}</p>'])}</header>",
                 lambda: box(["div"], named(["header", "masthead", "site-header", "topbar"]), some()),
                 lambda: box(["div"], f' role="{one(["banner", "navigation", "complementary", "search"])}"', some()),
@@ -437,7 +491,8 @@ def labelled_pages(count: int = 480, seed: int = 5) -> list[str]:
 
     def foot(mark: str = "") -> str:
         text = one([f"&copy; {word()}.example.com &middot; {sentences(1, 2)}", words(2, 12), sentences(1, 2), f"<p>{sentences(1, 2)}</p>"])
-        return one([f"<footer{mark}>{text}</footer>", box(["div"], mark + named(["footer", "site-footer", "bottom"]), text), ""])
+        legal = one([f"&copy; {rnd.randint(1990, 2024)} {words(1, 3)}", f"Copyright {words(1, 2)}. All rights reserved.", f"Copyright &copy; {word()}"])
+        return one([f"<footer{mark}>{text}</footer>", f"<footer{mark}>{text}</footer>", box(["div"], mark + named(["footer", "site-footer", "bottom"]), text), box(["div", "p"], mark, legal), ""])
 
     out = []
     for _ in range(count):
@@ -459,7 +514,7 @@ def labelled_pages(count: int = 480, seed: int = 5) -> list[str]:
         )
         inner = article()
         if not shell[0]:  # blocks right in the body
-            inner = re.sub(r"<(p|h\d|ul|blockquote|div|table|pre|header|figure)>", r'<\1 data-label="1">', inner)
+            inner = re.sub(r"<(p|h\d|ul|ol|blockquote|div|section|table|pre|header|figure)\b", r'<\1 data-label="1"', inner)
         elif rnd.random() < 0.5:
             off = ' data-label="0"'
             for _ in range(rnd.randint(1, 3)):
