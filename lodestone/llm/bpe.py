@@ -6,12 +6,16 @@ loops. Merge ``k`` of ``(u, v)`` into ``uv`` applies one gadget:
 
 * the state that ``u`` leads to is copied without its ``v`` arc, and every ``u``
   arc is led to the copy,
-* every state with a ``u`` arc gets a ``uv`` arc into the state that ``v`` led to.
+* every state with a ``u`` arc gets a ``uv`` arc into the state that ``v`` led to,
+* where that state has no ``v`` arc any more, ``u`` and ``v`` never meet: the gadget adds
+  nothing, and ``uv`` is no label of the automaton.
 
 By induction a token leads to the same state wherever it is read, so a state is
 the pair (token that owns the copies, number of gadgets applied), and whether a
-state has an arc follows from the cuts made in it before that arc was born. The
-compiled table keeps these cuts; ``has_arc`` answers from them and remembers.
+state has an arc follows from the cuts made in it before that arc was born. Spelled
+out, the table would have one cell for each two tokens (2.4 billion); compiled, it
+keeps for each state the arcs that were cut, and ``has_arc`` answers from these
+cuts and remembers.
 
 A string has exactly one accepted token sequence, and each of its prefixes too,
 so encoding a word is a left-to-right walk over arcs whose labels spell it.
@@ -62,7 +66,6 @@ class MergeAutomaton:
     """Compiled merges: arcs, states and labels."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], special: dict[str, int] | None = None):
-        self.ids = vocab
         size = max([*vocab.values(), *(special or {}).values()], default=-1) + 1
         self.labels = [""] * size
         for token, i in [*vocab.items(), *(special or {}).items()]:
@@ -72,19 +75,25 @@ class MergeAutomaton:
         self.born = [-1] * size  # gadget that made this token
         self.cuts: list[dict[int, int]] = [{} for _ in range(size)]  # cuts[u][v]: gadget that cut v after u
         self.parts: set[int] = set()
+        self.ids = {t: i for t, i in vocab.items() if len(t.removesuffix(WORD_END)) == 1}  # labels of arcs
         for k, (u, v) in enumerate(merges):
             self.gadget(k, vocab[u], vocab[v], vocab[u + v])
-        self.reach: dict[str, int] = {}  # symbols of the longest token, by its first two
-        for t in vocab:
+        self.reach: dict[str, int] = {}  # symbols of the longest label, by its first two
+        for t in self.ids:
             plain = t.removesuffix(WORD_END)
             self.reach[plain[:2]] = max(len(plain), self.reach.get(plain[:2], 1))
         self.arcs: dict[int, bool] = {}
         self.size = size
 
     def gadget(self, k: int, u: int, v: int, uv: int) -> None:
-        if self.born[uv] >= 0 or uv in self.parts:  # it was used before it was made
-            raise ValueError(f"merge {k} isn't built from earlier tokens, or repeats one")
+        if uv in self.parts:
+            raise ValueError(f"merge {k} makes a token that an earlier merge uses")
         self.parts |= {u, v}
+        if self.labels[u] not in self.ids or self.labels[v] not in self.ids or not self._derive(u, v):
+            return
+        if self.born[uv] >= 0:
+            raise ValueError(f"merge {k} makes a token a second time")
+        self.ids[self.labels[uv]] = uv
         self.cuts[u].setdefault(v, k)
         self.left[uv], self.owner[uv], self.born[uv] = u, v, k
 
@@ -118,9 +127,6 @@ class MergeAutomaton:
         the arcs it looks at; the accepted path is unique.
         """
         ids, n, has_arc = self.ids, len(symbols), self.has_arc
-        whole = ids.get(symbols + WORD_END)
-        if whole is not None:
-            return [whole]
         path: list[int] = []
         ends: list[int] = []
         tried: list[int] = []  # next end to try at each depth
