@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.storage import materialize
+from lodestone.storage import drop, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -87,7 +87,8 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
     for _ in range(max_rounds):
         if before[0] == 0:
             break
-        cur = materialize(_small_star(_large_star(cur)), "cc-round")
+        last, cur = cur, materialize(_small_star(_large_star(cur)), "cc-round")
+        drop(last)
         after = mark(cur)
         if after == before:
             break
