@@ -3,7 +3,8 @@
 A payload is padded with zero bytes to a positive multiple of 64 and stored as a
 PNG of 8-bit grey samples, 64 a row. Media are appended to tar shards in the
 shared folder, named by the digest of their stored form; within a shard equal
-media are stored once. Rows carry digest, shard, offset and length. Metadata
+media are stored once. Rows carry digest, shard, offset and length. Read tasks are cut by
+the bytes of the objects, not by the rows. Metadata
 columns are filled by range reads of the header bytes alone; features are
 computed from the payload that a range read of the whole object gives back, so
 nothing in them comes from the text.
@@ -35,9 +36,11 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.storage import materialize, new_path
+from lodestone.storage import materialize, new_path, qualified
 
 ROW, SIGNATURE, SHARD_BYTES = 64, b"\x89PNG\r\n\x1a\n", 256 << 20
+#: Stretches of a shard that a read task takes whole, and bytes of objects for a read task.
+CHUNK_BYTES, READ_BYTES = 16 << 20, 64 << 20
 #: Signature, chunk length and name, and the thirteen bytes of the image header.
 HEADER = len(SIGNATURE) + 8 + 13
 
@@ -119,7 +122,7 @@ class Shard:
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
     """Writes the shards. Returns rows (id, n_bytes, media_sha256, shard, offset, length) and the folder."""
     spark = docs.sparkSession
-    uri = new_path(spark, "media")
+    uri = qualified(spark, new_path(spark, "media"))
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +157,8 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
 
 
 def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
-    where, folder = fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+    """The file system and path of a qualified URI, the one that Spark writes its own tables to."""
+    where, folder = fs.FileSystem.from_uri(uri)
     where.create_dir(folder, recursive=True)
     return where, folder
 
@@ -165,22 +169,20 @@ def read_columns(rows: DataFrame, uri: str, id_col: str = "doc_id") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, folder = open_folder(uri)
-        name, file, known = None, None, {}
-        for batch in batches:
+        name, file, at, values = None, None, None, ()
+        for batch in batches:  # in the order of shard and offset, so equal objects follow each other
             cols: list[list] = [[] for _ in range(5)]
             for shard, offset, length in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
                 if shard != name:
                     if file:
                         file.close()
-                    name, file, known = shard, where.open_input_file(posixpath.join(folder, shard)), {}
-                if offset not in known:
-                    if len(known) > 50_000:
-                        known.clear()
+                    name, file, at = shard, where.open_input_file(posixpath.join(folder, shard)), None
+                if offset != at:
                     width, lines = header(file.read_at(HEADER, offset))
                     media = file.read_at(length, offset)
                     payload = decode(media)
-                    known[offset] = (width * lines, sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), sha256(media).hexdigest(), feature(payload))
-                for col, value in zip(cols, known[offset]):
+                    at, values = offset, (width * lines, sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), sha256(media).hexdigest(), feature(payload))
+                for col, value in zip(cols, values):
                     col.append(value)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), batch.column(4), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.string())],
@@ -188,5 +190,8 @@ def read_columns(rows: DataFrame, uri: str, id_col: str = "doc_id") -> DataFrame
             )
 
     slim = rows.select(F.col(id_col).alias("id"), "n_bytes", "shard", "offset", "length")
-    out = slim.mapInArrow(run, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    total = slim.agg(F.sum("length")).first()[0] or 0
+    tasks = max(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-total // READ_BYTES))
+    dealt = slim.repartition(tasks, "shard", F.floor(F.col("offset") / CHUNK_BYTES)).sortWithinPartitions("shard", "offset")
+    out = dealt.mapInArrow(run, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     return out.withColumnRenamed("id", id_col)
