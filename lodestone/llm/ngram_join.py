@@ -9,15 +9,19 @@ vertex, so copies are never expanded into pairs.
    sorted blocks. A bucket tells which of its tokens stand in two or more
    different sets, and how common each is. A set can only have a link if at least
    ``percent`` of it is shared, so most documents leave here.
-2. *Groups.* What is left is partitioned by minimum hash, and each part (cut in
-   chunks of bounded size) is clustered around leaders by exact similarity.
-3. *Token-group matrix.* Clusters are held in groups of bounded size with the
-   union of their tokens. Clusters whose members have a rare-first prefix token
-   in common are candidates; for a query set and a group, the number of the
-   query's tokens in the group's union bounds its overlap with every member, and
-   only groups that reach the needed overlap are opened, member by member, until
-   the two clusters are linked.
-4. Components of the cluster links (large-star/small-star).
+2. *Clusters.* What is left is partitioned by minimum hash, and each part (cut in
+   chunks of bounded size) is clustered around leaders by exact similarity. The
+   leaders are clustered again by other minimum hashes, so that copies of one
+   text come to one root.
+3. *Token-group matrix.* The sets are held in groups of bounded size, a large root's
+   in groups of their own, and each group with the union of its tokens. A set is a
+   query to every later group that has one of its rare-first prefix tokens in a
+   member's prefix: one row for each set and group, whatever the number of
+   members. The number of a query's tokens in the union bounds its overlap
+   with every member; only groups that reach the needed overlap are opened, and
+   there one pass over the postings of the query's tokens counts the overlap with all
+   members at once. Nothing is sent to groups of the set's own root.
+4. Components of the links between roots (large-star/small-star).
 
 Steps 2 and 3 lose no link: if J(A, B) >= t, the first |A| - ceil(t|A|) + 1 tokens
 of A and of B in one global order have a token in common. The order is (how
@@ -26,18 +30,22 @@ candidates; sizes that rule a link out don't either. Token buckets get at most
 one row from each block of documents, and a token that stands in ``HOT_LOCAL`` sets of one block is sent as a single
 flag, so no frequent token gathers its documents anywhere.
 
+What still grows with the square, at one row for ``GROUP_MEMBERS`` sets: different
+texts that share three quarters of themselves with each other and yet fall short
+of the threshold.
+
 Words: ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. With fewer words than
 ``width`` the whole sequence is the one shingle. Null, empty and blank texts
 have empty sets: size 0, linked with nothing, their own component. Rows with the
-same id are separate rows of one document; a null id is treated like any value
-(it sorts first and so names its component). Empty tables give empty results;
-other columns are ignored. Sets are told apart by 64 hash bits and the set size
-(by 32 bits where a token is asked for a second set), tokens by the top bits of
-64-bit hashes (40 and the bucket's).
+same id are separate rows of one document. A null id names a component only if no
+other id is in it. Empty tables give empty results; other columns are ignored.
+Sets are told apart by 64 hash bits and the set size, tokens by the top 60 bits of
+64-bit hashes and how common they are.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,14 +56,18 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.worker import Memo, enter, settle
 from lodestone.operators.graph import connected_components
-from lodestone.storage import materialize
+from lodestone.storage import drop, materialize
 
 #: Tokens of one block of documents, of one token bucket; documents in one block.
 BLOCK_TOKENS, BUCKET_TOKENS, BLOCK_DOCS = 1_000_000, 2_500_000, 60_000
-#: Sets of one block that make a token hot; bits kept of a token inside its bucket.
-HOT_LOCAL, TOKEN_BITS = 64, 40
-#: Most members of a group of the matrix, sets and tokens of a chunk that is clustered at once; leaders a chunk keeps.
-GROUP_MEMBERS, CHUNK, CHUNK_TOKENS, LEADERS = 256, 4000, 2_000_000, 64
+#: Sets of one block that make a token hot.
+HOT_LOCAL = 64
+#: Members and tokens of a group of the matrix, about; queries that one copy of a group serves.
+GROUP_MEMBERS, GROUP_TOKENS, GROUP_QUERIES = 1024, 1_000_000, 65_536
+#: Sets and tokens of a chunk that is clustered at once; leaders a chunk keeps; clusterings of leaders by other hashes.
+CHUNK, CHUNK_TOKENS, LEADERS, AGAIN = 4000, 2_000_000, 64, 2
+#: Members of a root that a query is held against before all of them; bytes that one task of the matrix reads, about.
+PROBES, TASK_BYTES = 4, 64 << 20
 CACHE_WORDS = 100_000
 #: Ranges that a token bucket is worked through in, to hold less at once.
 PASSES = 4
@@ -130,7 +142,6 @@ class Buckets:
     def __init__(self, count: int):
         self.count = count
         self.width = (1 << 64) // count + 1
-        self.shift = U(max(0, self.width.bit_length() - TOKEN_BITS))
         self.edges = np.array([i * self.width for i in range(count)], U)
 
     def low(self, b: int) -> np.uint64:
@@ -139,7 +150,7 @@ class Buckets:
 
 def ranked(bucket: int, edges: Buckets, inside: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Tokens as they are ordered and compared from here on: class, then hash."""
-    return (classes.astype(U) << U(60)) | ((edges.low(bucket) + (inside << edges.shift)) >> U(4))
+    return (classes.astype(U) << U(60)) | ((edges.low(bucket) + inside) >> U(4))
 
 
 #: kind 0: tokens of a block for a token bucket; 1: shared tokens of a block; 2: the sets of a block.
@@ -171,16 +182,13 @@ def block_rows(by: Buckets, sets: list[np.ndarray], sigs: list[int]) -> list[tup
     tokens, ref = tokens[order], ref[order]
     _, lengths = runs(tokens)
     hot = np.repeat(lengths >= HOT_LOCAL, lengths)
-    prints = (sig & U(0xFFFFFFFF)).astype(np.uint32)
     rows = [(2, home(block, by), block, -1, planes(sig), planes(sizes.astype(np.uint32)), b"", b"")]
-    cut = np.append(np.searchsorted(tokens, by.edges), len(tokens))
-    for b in range(by.count):
-        own = slice(cut[b], cut[b + 1])
-        if own.start == own.stop:
-            continue
-        inside, r, h = (tokens[own] - by.low(b)) >> by.shift, ref[own], hot[own]
+    bucket = tokens // U(by.width)
+    for first, count in zip(*runs(bucket)):  # the buckets that this block has tokens for
+        own, b = slice(first, first + count), int(bucket[first])
+        inside, r, h = tokens[own] - by.low(b), ref[own], hot[own]
         used, local = np.unique(r[~h], return_inverse=True)
-        rows.append((0, b, block, b, packed(inside[~h]), planes(local.astype(np.uint16)), planes(used) + planes(prints[used]), packed(np.unique(inside[h]))))
+        rows.append((0, b, block, b, packed(inside[~h]), planes(local.astype(np.uint16)), planes(used) + planes(sig[used]), packed(np.unique(inside[h]))))
         if h.any():
             rows.append(shared_row(by, block, b, r[h], inside[h], np.full(int(h.sum()), HOT_CLASS)))
     return rows
@@ -239,12 +247,12 @@ def many_of(rows: pa.Table, hot: np.ndarray, low: np.uint64, high: np.uint64) ->
     t, of, ref, mark = [], [], [], []
     for i, (a, b, c) in enumerate(zip(*(rows.column(x) for x in "abc"))):
         tokens, c = unpacked(a.as_py()), c.as_py()
-        own, n = slice(*np.searchsorted(tokens, [low, high])), len(c) // 6
+        own, n = slice(*np.searchsorted(tokens, np.array([low, high], U))), len(c) // 10
         local = unplanes(b.as_py(), np.uint16)[own]
         t.append(tokens[own])
         of.append(np.full(len(local), i, np.uint32))
         ref.append(unplanes(c[: 2 * n], np.uint16)[local])
-        mark.append(unplanes(c[2 * n :], np.uint32)[local])
+        mark.append(unplanes(c[2 * n :], U)[local])
     t, of, ref, mark = (np.concatenate(x) for x in (t, of, ref, mark))
     if not len(t):
         return of, ref, t, np.zeros(0, np.int64)
@@ -267,7 +275,7 @@ def shared_of(blocks: DataFrame, by: Buckets) -> DataFrame:
         bucket = key[1].as_py()
         names = rows.column("block").to_pylist()
         hot = np.unique(np.concatenate([unpacked(d.as_py()) for d in rows.column("d")]))
-        cut = np.array([(by.width >> int(by.shift)) * k // PASSES for k in range(PASSES)] + [1 << 63], U)
+        cut = np.array([by.width * k // PASSES for k in range(PASSES)] + [(1 << 64) - 1], U)
         kept = [many_of(rows, hot, cut[k], cut[k + 1]) for k in range(PASSES)]
         of, ref, t, classes = (np.concatenate(x) for x in zip(*kept))
         order = np.argsort(of, kind="stable")
@@ -405,97 +413,187 @@ def clusters_of(sets: DataFrame, percent: int) -> DataFrame:
     return cut.mapInArrow(run, "sig long, n long, comp long, s binary")
 
 
-def prefixes_of(members: DataFrame, percent: int) -> DataFrame:
-    """(token, comp, small, large, prev) over the prefixes of the members.
+def other_hash(sets: DataFrame, turn: int) -> DataFrame:
+    """(sig, n, g, s) with another minimum hash for each turn."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salt = mix(np.array([turn], U))
+        for batch in batches:
+            low = [mix(np.frombuffer(x, U) ^ salt).min().view(np.int64) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(low, pa.int64()), batch.column(2)], schema=SETS)
+
+    return sets.select("sig", "n", "s").mapInArrow(run, "sig long, n long, g long, s binary")
+
+
+def rooted(members: DataFrame, percent: int) -> DataFrame:
+    """(comp, root): clusters brought together by clustering their leaders again, by exact links."""
+    found = members.select("comp").distinct().withColumn("root", F.col("comp"))
+    leaders = members.where("sig = comp").select("sig", "n", "s")
+    for turn in range(1, AGAIN + 1):
+        again = materialize(clusters_of(other_hash(leaders, turn), percent), "jaccard-leaders")
+        found = found.join(again.select(F.col("sig").alias("root"), F.col("comp").alias("next")), "root", "left").select("comp", F.coalesce("next", "root").alias("root"))
+        leaders = again.where("sig = comp").select("sig", "n", "s")
+    return materialize(found, "jaccard-roots")
 
-    ``small`` is the least size of a member with this token in its prefix, ``large`` the
-    most that a partner's size can be: an overlap is at most the member's shared tokens.
-    ``prev`` is the token before this one in every such member. Two clusters that
-    have it in common meet there already, so each run of common tokens, a passage
-    say, makes a pair once.
+
+def grouped(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(sig, n, root, grp, s): each set in one group of about bounded members and tokens."""
+    known = members.join(roots, "comp")
+    tokens = F.length("s") / 8
+    sizes = known.groupBy("root").agg(F.count("*").alias("c"), F.sum(tokens).alias("t"))
+    sizes = sizes.withColumn("large", (F.col("c") > GROUP_MEMBERS / 4) | (F.col("t") > GROUP_TOKENS / 4))
+    sizes = materialize(sizes.withColumn("parts", F.ceil(F.greatest(F.col("c") / GROUP_MEMBERS, F.col("t") / GROUP_TOKENS))), "jaccard-sizes-of-roots")
+    c, t = sizes.where("not large").agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
+    mixed = max(1, math.ceil(max(2 * c / GROUP_MEMBERS, 2 * t / GROUP_TOKENS)))
+    place = F.when(F.col("large"), F.xxhash64("root", F.pmod(F.xxhash64("sig", "n"), "parts"))).otherwise(F.xxhash64(F.pmod(F.xxhash64("root"), F.lit(mixed))))
+    return known.join(sizes, "root").select("sig", "n", "root", place.alias("grp"), "s")
+
+
+def heads_of(sets: DataFrame, percent: int) -> DataFrame:
+    """(token, sig, n, root, grp, most, prev): the prefix of every set.
+
+    ``most`` is the most that a partner's size can be: an overlap is at most the
+    set's shared tokens. ``prev`` is the token before this one (0: none).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tok, prev, comp, size, most = [np.zeros(0, U)], [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for n, c, s in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            heads, keys = [np.zeros(0, U)], []
+            count = []
+            for n, s in zip(batch.column(1).to_pylist(), batch.column(4).to_pylist()):
                 tokens = np.frombuffer(s, U)
-                head = tokens[: max(0, len(tokens) - needed(n, percent) + 1)]
-                tok.append(head)
-                prev.append(np.concatenate([np.zeros(1, U), head[:-1]])[: len(head)])
-                comp.append(np.full(len(head), c, np.int64))
-                size.append(np.full(len(head), n, np.int64))
-                most.append(np.full(len(head), len(tokens) * (100 + percent) // percent - n, np.int64))
-            tok, prev, comp, size, most = (np.concatenate(x) for x in (tok, prev, comp, size, most))
-            if not len(tok):
+                heads.append(tokens[: max(0, len(tokens) - needed(n, percent) + 1)])
+                count.append(len(heads[-1]))
+                keys.append(len(tokens) * (100 + percent) // percent - n)
+            if not sum(count):
                 continue
-            order = np.lexsort((comp, tok))
-            tok, prev, comp, size, most = (x[order] for x in (tok, prev.view(np.int64), comp, size, most))
-            first = np.flatnonzero(np.concatenate([[True], (tok[1:] != tok[:-1]) | (comp[1:] != comp[:-1])]))
-            cols = [tok[first].view(np.int64), comp[first], np.minimum.reduceat(size, first), np.maximum.reduceat(most, first), np.minimum.reduceat(prev, first), np.maximum.reduceat(prev, first)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["token", "comp", "small", "large", "p0", "p1"])
+            tok = np.concatenate(heads).view(np.int64)
+            of = np.repeat(np.arange(len(count)), count)
+            prev = np.concatenate([[0], tok[:-1]])
+            prev[np.concatenate([[True], of[1:] != of[:-1]])] = 0
+            rest = [pa.array(np.asarray(batch.column(i))[of]) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([pa.array(tok), *rest, pa.array(np.array(keys, np.int64)[of]), pa.array(prev)], ["token", "sig", "n", "root", "grp", "most", "prev"])
 
-    heads = members.select("n", "comp", "s").mapInArrow(run, "token long, comp long, small long, large long, p0 long, p1 long")
-    found = heads.groupBy("token", "comp").agg(F.min("small").alias("small"), F.max("large").alias("large"), F.min("p0").alias("p0"), F.max("p1").alias("p1"))
-    return found.select("token", "comp", "small", "large", F.when((F.col("p0") == F.col("p1")) & (F.col("p0") != 0), F.col("p0")).alias("prev"))
+    return sets.select("sig", "n", "root", "grp", "s").mapInArrow(run, "token long, sig long, n long, root long, grp long, most long, prev long")
 
 
-def opened(rows: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between clusters, from groups and the queries that were sent to them."""
+def routes_of(sets: DataFrame, percent: int) -> DataFrame:
+    """(sig, n, to): the groups that a set is a query to.
 
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        queries, members = [], []
-        for role, comp, n, s in zip(*(rows.column(x).to_pylist() for x in ("role", "comp", "n", "s"))):
-            (queries if role else members).append((comp, n, np.frombuffer(s, U)))
-        links: set[tuple[int, int]] = set()
-        if queries and members:
-            own = members[0][0]
-            union = np.unique(np.concatenate([m[2] for m in members]))
-            members.sort(key=lambda m: m[1])
-            for comp, n, tokens in queries:
-                if (comp, own) in links:
+    A run of tokens that a set and all members of a group that have them share, a
+    passage say, is met at its first token: whoever has the same token before
+    it has met there already.
+    """
+    heads = materialize(heads_of(sets, percent), "jaccard-heads")
+    common = heads.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("token")
+    lists = heads.join(common, "token")
+    held = lists.groupBy("token", "grp").agg(
+        F.min("n").alias("small"), F.max("most").alias("large"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("prev").alias("p0"), F.max("prev").alias("p1")
+    )
+    meet = F.expr(
+        "q.token = h.token and q.grp < h.grp and q.n <= h.large and h.small <= q.most "
+        "and not (h.r0 = q.root and h.r1 = q.root) and not (q.prev <> 0 and h.p0 = q.prev and h.p1 = q.prev)"
+    )
+    found = materialize(lists.alias("q").join(held.alias("h"), meet).select("q.sig", "q.n", F.col("h.grp").alias("to")).distinct(), "jaccard-routes")
+    drop(heads)
+    return found
+
+
+class Group:
+    """A group of the matrix: the union of its tokens, and the members that have each."""
+
+    def __init__(self, sizes: list[int], roots: list[int], sets: list[np.ndarray]):
+        self.sizes, self.roots, self.sets = np.array(sizes, np.int64), np.array(roots, np.int64), sets
+        every = np.concatenate(sets)
+        who = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])
+        order = np.argsort(every, kind="stable")
+        every, self.who = every[order], who[order]
+        self.first, self.count = runs(every)
+        self.union = every[self.first]
+        self.one = len(np.unique(self.roots)) == 1
+        self.links: set[tuple[int, int]] = set()
+
+    def ask(self, root: int, n: int, tokens: np.ndarray, percent: int) -> None:
+        """Adds the links of a set with the members of other roots."""
+        own = int(self.roots[0])
+        if self.one and (own == root or (root, own) in self.links):
+            return
+        spot = np.minimum(np.searchsorted(self.union, tokens), len(self.union) - 1)
+        spot = spot[self.union[spot] == tokens]
+        if len(spot) < needed(n, percent):
+            return  # no member of this group can reach the overlap
+        if self.one and any(similar(tokens, n, self.sets[i], int(self.sizes[i]), percent) for i in range(min(PROBES, len(self.sets)))):
+            self.links.add((root, own))
+            return
+        count = self.count[spot]
+        at = np.repeat(self.first[spot] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+        inter = np.bincount(self.who[at], minlength=len(self.sets))
+        good = (100 * inter >= percent * (n + self.sizes - inter)) & (self.roots != root)
+        self.links.update((root, int(r)) for r in np.unique(self.roots[good]))
+
+
+def opened(rows: DataFrame, percent: int, tasks: int) -> DataFrame:
+    """Links (a, b) between roots. Rows are (grp, qblock, role, n, root, s): members (role 0) and queries (role 1) of groups.
+
+    A task gathers one group and streams its queries past it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, group = None, [], None
+
+        def start() -> Group | None:
+            if not held:
+                return None
+            found = Group(*(list(x) for x in zip(*held)))
+            if at[1] == 0 and not found.one:  # the members among themselves, in one copy of the group
+                for n, root, tokens in held:
+                    found.ask(root, n, tokens, percent)
+            return found
+
+        def links() -> pa.RecordBatch:
+            pairs = list(group.links) if group else []
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for grp, block, role, n, root, s in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if (grp, block) != at:
+                    if at is not None:
+                        group = group or start()
+                        yield links()
+                    at, held, group = (grp, block), [], None
+                if role == 0:
+                    held.append((n, root, np.frombuffer(s, U)))
                     continue
-                spot = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
-                if int((union[spot] == tokens).sum()) < needed(n, percent):
-                    continue  # no member of this group can reach the overlap
-                if any(similar(tokens, n, t, m, percent) for _, m, t in members):
-                    links.add((comp, own))
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+                group = group or start()
+                if group:
+                    group.ask(root, n, np.frombuffer(s, U), percent)
+        if at is not None:
+            group = group or start()
+            yield links()
+        settle()
 
-    return rows.groupBy("gcomp", "chunk", "qblock").applyInArrow(run, "a long, b long")
+    dealt = rows.repartition(tasks, "grp", "qblock").sortWithinPartitions("grp", "qblock", "role")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
-def cluster_links(members: DataFrame, percent: int) -> DataFrame:
-    """The token-group matrix: candidate clusters by prefix token, bounds, opened groups."""
-    heads = materialize(prefixes_of(members, percent), "jaccard-heads")
-    common = heads.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    lists = heads.join(common, "token")
-    size = members.groupBy("comp").agg(F.count("*").alias("size"))
-    pairs = lists.alias("x").join(lists.alias("y"), F.expr("x.token = y.token and x.comp < y.comp and x.small <= y.large and y.small <= x.large and not coalesce(x.prev = y.prev, false)")).select(F.col("x.comp").alias("x"), F.col("y.comp").alias("y")).distinct()
-    pairs = pairs.join(size.select(F.col("comp").alias("x"), F.col("size").alias("nx")), "x").join(size.select(F.col("comp").alias("y"), F.col("size").alias("ny")), "y")
-    big = F.col("nx") > F.col("ny")
-    # the smaller cluster's members are the queries; the larger is held in groups of bounded size
-    sent = materialize(
-        pairs.select(
-            F.when(big, F.col("y")).otherwise(F.col("x")).alias("comp"),
-            F.when(big, F.col("x")).otherwise(F.col("y")).alias("gcomp"),
-            F.ceil(F.greatest("nx", "ny") / F.lit(float(GROUP_MEMBERS))).alias("chunks"),
-        ),
-        "jaccard-candidates",
-    )
-    blocks = sent.groupBy("gcomp", "chunks").agg(F.ceil(F.count("*") / F.lit(512.0)).alias("qblocks"))
-    routed = sent.join(blocks, ["gcomp", "chunks"]).withColumn("qblock", F.expr("pmod(xxhash64(comp), qblocks)"))
-    queries = members.join(routed, "comp").select("gcomp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "qblock", F.lit(1).alias("role"), "comp", "n", "s")
-    held = members.join(blocks.withColumnRenamed("gcomp", "comp"), "comp").select(
-        F.col("comp").alias("gcomp"),
-        F.expr("pmod(xxhash64(sig, n), chunks)").alias("chunk"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("qblocks") - 1)).alias("qblock"),
-        F.lit(0).alias("role"),
-        "comp",
-        "n",
-        "s",
-    )
-    return opened(queries.unionByName(held), percent)
+def root_links(sets: DataFrame, percent: int) -> DataFrame:
+    """The token-group matrix: queries by prefix token, bounds by the unions, opened groups."""
+    routes = routes_of(sets, percent)
+    blocks = materialize(routes.groupBy("to").agg(F.ceil(F.count("*") / F.lit(float(GROUP_QUERIES))).alias("blocks")), "jaccard-blocks")
+    asked = routes.join(blocks, "to").withColumn("qblock", F.pmod(F.xxhash64("sig", "n"), F.col("blocks")))
+    queries = sets.select("sig", "n", "root", "s").join(asked, ["sig", "n"]).select(F.col("to").alias("grp"), "qblock", F.lit(1).alias("role"), "n", "root", "s")
+    copies = F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)) - 1)
+    held = sets.join(blocks.withColumnRenamed("to", "grp"), "grp", "left").select("grp", F.explode(copies).alias("qblock"), F.lit(0).alias("role"), "n", "root", "s")
+    count, size = sets.agg(F.count("*"), F.coalesce(F.sum(F.length("s")), F.lit(0))).first()
+    sent = (count + routes.count()) * size // max(1, count)
+    tasks = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sent // TASK_BYTES))
+    links = materialize(opened(held.unionByName(queries), percent, tasks).distinct(), "jaccard-links")
+    drop(routes, blocks)
+    return links
+
+
+#: Rows of one text that are joined by broadcast; at most 100,000 such texts, whatever the input.
+HOT_ROWS = 1000
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
@@ -505,13 +603,23 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sized = materialize(sizes_of(slim, width), "jaccard-sizes")
     total = sized.agg(F.sum("n")).first()[0] or 0
     by = Buckets(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_TOKENS)))
-    sets = materialize(survivors_of(shared_of(blocks_of(slim, width, by), by), by, percent), "jaccard-sets")
-    members = materialize(clusters_of(sets, percent), "jaccard-members")
-    links = materialize(cluster_links(members, percent), "jaccard-links")
-    found = connected_components(links).withColumnRenamed("node", "comp")
-    top = members.select("sig", "n", "comp").join(found, "comp", "left").select("sig", "n", F.coalesce("component", "comp").alias("top"))
-    first = sized.where("n > 0").groupBy("sig", "n").agg(F.min("id").alias("own"))
+    found = materialize(survivors_of(shared_of(blocks_of(slim, width, by), by), by, percent), "jaccard-sets")
+    members = materialize(clusters_of(found, percent), "jaccard-members")
+    roots = rooted(members, percent)
+    sets = materialize(grouped(members, roots), "jaccard-groups")
+    links = root_links(sets, percent)
+    comps = connected_components(links).withColumnRenamed("node", "root")
+    top = materialize(sets.select("sig", "n", "root").join(comps, "root", "left").select("sig", "n", F.coalesce("component", "root").alias("top")), "jaccard-tops")
+    drop(found, members, sets, links)
+    first = sized.where("n > 0").groupBy("sig", "n").agg(F.min("id").alias("own"), F.count("*").alias("c"))
     linked = first.join(top, ["sig", "n"])
     least = linked.groupBy("top").agg(F.min("own").alias("least"))
-    named = first.join(linked.join(least, "top").select("sig", "n", "least"), ["sig", "n"], "left").select("sig", "n", F.coalesce("least", "own").alias("component_id"))
-    return sized.join(named, ["sig", "n"], "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    named = first.join(linked.join(least, "top").select("sig", "n", "least"), ["sig", "n"], "left").select("sig", "n", "c", F.coalesce("least", "own").alias("component_id"))
+    named = materialize(named, "jaccard-names")
+    # rows of very common texts don't meet in one task: their names go to where the rows are
+    rows = sized.count()
+    hot = F.broadcast(named.where(F.col("c") > max(HOT_ROWS, rows // 100_000)).select("sig", "n", F.col("component_id").alias("hot_id"), F.lit(True).alias("is_hot")))
+    marked = sized.join(hot, ["sig", "n"], "left")
+    rest = marked.where("is_hot is null").join(named.select("sig", "n", "component_id"), ["sig", "n"], "left")
+    every = rest.select("id", "n", "component_id").unionByName(marked.where("is_hot").select("id", "n", F.col("hot_id").alias("component_id")))
+    return every.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
