@@ -59,6 +59,23 @@ def _strip(c: Column) -> Column:
     return _sub(c, r"^\s+|\s+$", "")
 
 
+# Patterns of dotted materials and punctuation, and of tokens that are written together.
+PUNCTUATION = [
+    (r"\bm\.\s*s\.?", " mild steel "),
+    (r"\bc\.\s*s\.?", " carbon steel "),
+    (r"\bal\.", " aluminium "),
+    ("&", " and "),
+    (r"[,;()\[\]{}*_+|]", " "),
+    (r"(?<!\d)\.|\.(?!\d)", " "),
+]
+FUSED = [
+    (r"\b([a-z]{2,})(\d)", "$1 $2"),
+    (r"(\d)\s*[x×]\s*(\d)", "$1 x $2"),
+    (r"(\d)([a-z]+)", "$1 $2"),
+    (r"\b([a-z]+)-(?=\d)", "$1 "),
+]
+
+
 def _mapped(tokens: Column, table: dict[str, str], key=lambda t: t) -> Column:
     lookup = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
     return F.array_join(F.transform(tokens, lambda t: F.coalesce(lookup[key(t)], t)), " ")
@@ -67,7 +84,7 @@ def _mapped(tokens: Column, table: dict[str, str], key=lambda t: t) -> Column:
 def fold_case_and_punctuation(c: Column) -> Column:
     """Lower case, dotted materials, ampersands, punctuation; dots stay inside numbers."""
     out = _strip(F.lower(F.coalesce(c, F.lit(""))))
-    for pattern, to in ((r"\bm\.\s*s\.?", " mild steel "), (r"\bc\.\s*s\.?", " carbon steel "), (r"\bal\.", " aluminium "), ("&", " and "), (r"[,;()\[\]{}*_+|]", " "), (r"(?<!\d)\.|\.(?!\d)", " ")):
+    for pattern, to in PUNCTUATION:
         out = _sub(out, pattern, to)
     return _strip(_sub(out, r"\s+", " "))
 
@@ -76,7 +93,7 @@ def expand_abbreviations(c: Column) -> Column:
     """Phrases, fused tokens, then token by token; a token that isn't known stays as it is."""
     for pattern, to in PHRASES:
         c = _sub(c, pattern, to)
-    for pattern, to in ((r"\b([a-z]{2,})(\d)", "$1 $2"), (r"(\d)\s*[x×]\s*(\d)", "$1 x $2"), (r"(\d)([a-z]+)", "$1 $2"), (r"\b([a-z]+)-(?=\d)", "$1 ")):
+    for pattern, to in FUSED:
         c = _sub(c, pattern, to)
     tokens = F.filter(F.split(c, r"[^0-9a-z./:\-]+"), lambda t: t != "")
     return _strip(_sub(_mapped(tokens, ABBREVIATIONS, lambda t: F.btrim(t, F.lit(".-/"))), r"\s+", " "))

@@ -26,9 +26,9 @@ UNITS = {
     "head_m": "m", "capacity_cum": "cu.m", "area_sqmm": "sq.mm",
 }
 
-NO_BASE = "No structured attribute could be compared -- both records state too little for the match to rest on anything but description text."
-CROSS = "Cross-CPSE duplication: the same material is separately coded by more than one enterprise, which is the case this system exists to find"
-THIN = "Routed to manual review for insufficient data, not because the descriptions disagree. Confirm against a drawing or spec sheet."
+NO_BASE = "The records have no attribute in common, so nothing but their texts speaks for the match."
+CROSS = "Cross-CPSE: the owners of these records have each given the material a code of their own"
+THIN = "Held back for its insufficient data, not for a difference; a data sheet or drawing would settle it."
 LINE = "struct<marker:string,text:string,attribute:string,weight:double>"
 
 
@@ -114,8 +114,8 @@ def explain_clusters(clusters: DataFrame, records: DataFrame, scored: DataFrame
         c = c.join(detail, "cluster_id", "left")
     else:
         c = c.withColumns({"_d": F.lit(None).cast(f"array<{LINE}>"), "_c": F.lit(None).cast("array<string>")})
-    head = F.concat(F.size("members").cast("string"), F.lit(" records proposed as one material, from "), F.size("cpses").cast("string"), F.lit(" CPSE(s): "), F.array_join("cpses", ", "))
-    agreement = F.format_string("Internal agreement: weakest link %.3f, mean %.3f across %d comparison(s)", "min_score", "mean_score", F.size("edges"))
+    head = F.concat(F.size("members").cast("string"), F.lit(" records taken as one material; owners ("), F.size("cpses").cast("string"), F.lit("): "), F.array_join("cpses", ", "))
+    agreement = F.format_string("Scores inside: least %.3f, mean %.3f, of %d pairs", "min_score", "mean_score", F.size("edges"))
     below = F.transform(F.filter("_d", lambda x: x["marker"].isin(SUPPORT, AGAINST, MISSING)), lambda x: F.struct(x["marker"].alias("marker"), x["text"].alias("text"), x["attribute"].alias("attribute"), (x["weight"] - 0.1).alias("weight")))
     lines = F.concat(
         F.array(line(INFO, head, 10.0)),
@@ -123,7 +123,7 @@ def explain_clusters(clusters: DataFrame, records: DataFrame, scored: DataFrame
         F.coalesce("people", none),
         F.array(line(INFO, agreement, 7.0)),
         F.when(F.col("tier_reason") != "", F.array(line(INFO, F.col("tier_reason"), 6.5))).otherwise(none),
-        F.when(F.col("_d").isNotNull(), F.concat(F.array(line(INFO, F.lit("Weakest link, attribute by attribute:"), 6.0)), below)).otherwise(none),
+        F.when(F.col("_d").isNotNull(), F.concat(F.array(line(INFO, F.lit("The pair with the least score:"), 6.0)), below)).otherwise(none),
     )
     thin = F.when(F.col("tier") == "UNKNOWN", F.array(F.lit(THIN))).otherwise(F.array().cast("array<string>"))
     return c.select("cluster_id", F.col("tier").alias("verdict"), F.col("min_score").alias("score"), F.format_string("cluster %d", "cluster_id").alias("subject"), ordered(lines).alias("lines"), F.concat(F.coalesce("_c", F.array().cast("array<string>")), thin).alias("caveats"))

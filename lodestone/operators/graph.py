@@ -58,7 +58,7 @@ def _union_find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int = 50, one_task_below: int = 0) -> DataFrame:
-    """Smallest reachable vertex for every vertex that has an edge.
+    """Smallest reachable vertex for every vertex that has an edge; vertices are of any type that has an order.
 
     Returns ``(node, component)``. Self-loops give their vertex its own id;
     edges with a null end are ignored; repeated edges change nothing; an empty

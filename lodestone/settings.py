@@ -25,7 +25,8 @@ MIN_KNOWN_FOR_AUTO, COHESION_RATIO = 2, 1.0
 # Blocking.
 SIZE_BUCKET_MM, MAX_BLOCK = 25.0, 400
 DEFAULT_FAMILIES = ["category_size", "category_token"]
-GENERIC_TOKENS = "component components spare spares part parts equipment industrial type misc general assembly".split()
+# Words that don't tell one category from another.
+GENERIC_TOKENS = ["component", "components", "spare", "spares", "part", "parts", "equipment", "industrial", "type", "misc", "general", "assembly"]
 
 # Semantic channel.
 WORD_COMPONENTS, CHAR_COMPONENTS = 256, 128
