@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from lodestone import settings as S
 from lodestone.operators.graph import connected_components
-from lodestone.storage import materialize
+from lodestone.operators.order import with_rank
+from lodestone.storage import materialize, settled
 
 #: Graphs of so many edges, a few MB, are settled in one task.
 ONE_TASK = 100_000
@@ -71,7 +72,7 @@ def split_component(edges: pd.DataFrame, floor: float) -> list[list[int]]:
 
 def members_of(edges: DataFrame, floor: float = 0.0) -> tuple[DataFrame, int]:
     """(rid, part): the part (by its smallest member) of every record in a cluster of two or more, and how many components were split."""
-    edges = materialize(edges, "match-edges")
+    edges = settled(edges, "match-edges")
     comp = materialize(connected_components(edges.select("a", "b"), one_task_below=ONE_TASK), "match-components")
     by = edges.join(comp.withColumnRenamed("node", "a"), "a")
     size = comp.groupBy("component").agg(F.count("*").alias("n"))
@@ -92,6 +93,7 @@ def members_of(edges: DataFrame, floor: float = 0.0) -> tuple[DataFrame, int]:
 
 def cluster(edges: DataFrame, records: DataFrame, floor: float = 0.0) -> tuple[DataFrame, int]:
     """Clusters: cluster_id, members, mean_score, min_score, cpses, is_cross_cpse, min_known_attrs, edges, size."""
+    edges = settled(edges, "match-edges")
     members, n_split = members_of(edges, floor)
     members = materialize(members, "match-members")
     info = members.join(records.select("rid", F.col(S.OWNER).cast("string").alias("_own"), "n_known_attributes"), "rid")
@@ -99,9 +101,9 @@ def cluster(edges: DataFrame, records: DataFrame, floor: float = 0.0) -> tuple[D
     l, r = members.alias("l"), members.alias("r")
     inner = edges.join(l, F.col("a") == F.col("l.rid")).join(r, (F.col("b") == F.col("r.rid")) & (F.col("l.part") == F.col("r.part")))
     sums = inner.groupBy("l.part").agg(F.avg("w").alias("mean_score"), F.min("w").alias("min_score"), F.sort_array(F.collect_list(F.struct("a", "b", "w"))).alias("edges"))
-    out = people.join(sums, "part", "left").withColumn("cluster_id", F.row_number().over(Window.orderBy("part")) - 1)  # one row a cluster
+    out = with_rank(people.join(sums, "part", "left"), ["part"], "cluster_id")
     return out.select(
-        "cluster_id", "members", F.coalesce("mean_score", F.lit(0.0)).alias("mean_score"), F.coalesce("min_score", F.lit(0.0)).alias("min_score"), "cpses",
+        F.col("cluster_id").cast("long").alias("cluster_id"), "members", F.coalesce("mean_score", F.lit(0.0)).alias("mean_score"), F.coalesce("min_score", F.lit(0.0)).alias("min_score"), "cpses",
         (F.size("cpses") > 1).alias("is_cross_cpse"), F.col("min_known_attrs").cast("int").alias("min_known_attrs"),
         F.coalesce("edges", F.array().cast("array<struct<a:bigint,b:bigint,w:double>>")).alias("edges"), F.size("members").alias("size"),
     ), n_split
@@ -170,8 +172,9 @@ def members_at(scored: DataFrame, score: str, thresholds: list[float]) -> DataFr
     One run over all thresholds: a vertex is a record at a threshold, so the graphs
     lie side by side and are settled in the same rounds.
     """
-    reached = F.size(F.filter(F.array(*[F.lit(float(t)) for t in thresholds]), lambda t: t <= F.col(score)))
-    edges = scored.where(F.col(score) >= thresholds[0]).select("a", "b", F.explode(F.sequence(F.lit(0), reached - 1)).alias("k"))
+    scored = materialize(build_graph(scored, thresholds[0], score), "sweep-scored")
+    reached = F.size(F.filter(F.array(*[F.lit(float(t)) for t in thresholds]), lambda t: t <= F.col("w")))
+    edges = scored.select("a", "b", F.explode(F.sequence(F.lit(0), reached - 1)).alias("k"))
     vertex = lambda c: F.struct("k", F.col(c).alias("rid"))
     comp = connected_components(edges.select(vertex("a").alias("a"), vertex("b").alias("b")))
     return comp.select("node.k", "node.rid", F.col("component.rid").alias("part"))

@@ -74,10 +74,18 @@ def sample(records: DataFrame, n: int, seed: int = S.SEED) -> DataFrame:
     n = max(1, min(n, total))
     if n == total:
         return records
-    kept = records.orderBy(F.xxhash64(F.col("rid"), F.lit(seed)), "rid").limit(n)
+    kept = records.orderBy(F.md5(F.concat_ws("|", F.col("rid").cast("string"), F.lit(str(seed)))), "rid").limit(n)
     return kept.withColumn("rid", (F.row_number().over(Window.orderBy("rid")) - 1).cast("long"))  # n rows
 
 
+def filtered(records: DataFrame, sectors: list[str] | None = None, categories: list[str] | None = None) -> DataFrame:
+    """Records of the sectors and categories that are chosen; None or an empty list chooses all."""
+    for column, chosen in ((S.SECTOR, sectors), (S.CATEGORY, categories)):
+        if chosen:
+            records = records.where(F.col(f"`{column}`").isin(*chosen))
+    return records
+
+
 def collision_quality(records: DataFrame, labels: DataFrame, key) -> DataFrame:
     """How well equal keys tell groups: pairs with one key, true ones among them, purity and recall."""
     j = records.select("rid", key.alias("k")).join(labels.select("rid", "gt_group"), "rid")
@@ -97,6 +105,12 @@ def attribute_coverage(records: DataFrame) -> DataFrame:
     return rates.select(F.explode(F.array(*[F.struct(F.lit(n).alias("attribute"), F.col(n).alias("coverage")) for n in S.ATTRIBUTES])).alias("r")).select("r.*")
 
 
+def known_attribute_counts(records: DataFrame) -> DataFrame:
+    """One row: n_records, n_without_attributes, mean_known_attributes."""
+    known = F.col("n_known_attributes")
+    return records.agg(F.count("*").alias("n_records"), F.count_if(known == 0).alias("n_without_attributes"), F.coalesce(F.avg(known), F.lit(0.0)).alias("mean_known_attributes"))
+
+
 def category_confusion(records: DataFrame, truth: DataFrame) -> DataFrame:
     """(category_a, category_b, n) of true pairs, categories in order."""
     c = records.select("rid", F.col(f"`{S.CATEGORY}`").alias("c"))

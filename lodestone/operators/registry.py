@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone import settings as S
+from lodestone.operators.order import with_rank
 from lodestone.storage import materialize
 
 ACTIVE, SUPERSEDED = "active", "superseded"
@@ -65,6 +66,12 @@ class Registry:
         own = self.members.join(self.entries.where("status = 'active' or superseded_by is not null").select("cnmc", "status"), "cnmc")
         return own.groupBy("cpse", "code").agg(F.max_by("cnmc", F.struct((F.col("status") == ACTIVE), sequence_of(F.col("cnmc")))).alias("cnmc"))
 
+    def _mapped(self) -> DataFrame:
+        """(cpse, code) of the records that an active code holds, by itself or through the codes it absorbed."""
+        merged = not self.entries.where("superseded_by is not null").isEmpty()
+        live = self.resolve_all().where("resolved is not null") if merged else self.entries.where(F.col("status") == ACTIVE)
+        return self.members.join(live.select("cnmc"), "cnmc", "left_semi").select("cpse", "code")
+
     def assign(self, clusters: DataFrame, records: DataFrame, created_by: str = "system", created_at: str | None = None) -> Registry:
         """Issues a code to every cluster (cluster_id, members, tier), in the order of cluster_id."""
         start = self.next_sequence()
@@ -72,10 +79,11 @@ class Registry:
         m = clusters.select("cluster_id", "tier", F.posexplode("members").alias("pos", "rid"))
         r = records.select("rid", F.col(S.OWNER).alias("cpse"), F.col(f"`{S.CODE}`").alias("code"), F.col(S.LEGACY).alias("legacy"), F.col(f"`{S.RAW}`").alias("description"), F.col(S.SECTOR).alias("sector"), F.col(f"`{S.CATEGORY}`").alias("category"))
         rows = m.join(r, "rid")
-        already = rows.join(self._reverse().select("cpse", "code"), ["cpse", "code"], "left_semi").limit(3).collect()
+        already = rows.join(self._mapped(), ["cpse", "code"], "left_semi").limit(3).collect()
         if already:
             raise ValueError(f"records already mapped to a code: {[(x.cpse, x.code) for x in already]}; merge codes instead of assigning again")
-        first = rows.where("pos = 0").select("cluster_id", "tier", code_of(F.col("sector"), F.col("category"), F.row_number().over(Window.orderBy("cluster_id")) + start - 1).alias("cnmc"))
+        first = with_rank(rows.where("pos = 0").select("cluster_id", "tier", "sector", "category"), ["cluster_id"], "place")
+        first = first.select("cluster_id", "tier", code_of(F.col("sector"), F.col("category"), F.col("place") + start).alias("cnmc"))
         first = materialize(first, "registry-codes")
         made = materialize(rows.drop("tier").join(first, "cluster_id").select("cnmc", "cpse", "code", "legacy", "rid", "description", F.col("pos").cast("long").alias("pos")), "registry-members")
         text = made.groupBy("cnmc").agg(canonical_description().alias("canonical_description"))
@@ -156,7 +164,7 @@ class Registry:
         return out.withColumn("codes_eliminated", F.col("records_mapped") - F.col("active_codes"))
 
     def export_mapping(self, path: str) -> None:
-        self.to_frame().coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+        self.to_frame().coalesce(1).write.mode("overwrite").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def import_mapping(spark: SparkSession, path: str, records: DataFrame) -> Registry:

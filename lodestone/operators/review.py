@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone import settings as S
 from lodestone.operators.classify import train, tune_threshold
+from lodestone.operators.order import with_rank
 
 APPROVE, REJECT, EDIT = "approve", "reject", "edit"
 SCHEMA = "seq long, item_id long, cluster_id long, action string, reviewer string, ts string, comment string, members array<long>, original_members array<long>, score double"
@@ -24,8 +25,7 @@ def build_queue(clusters: DataFrame, threshold: float, tiers: tuple[str, ...] =
     rows = clusters.where(F.col("tier").isin(*tiers)).withColumn("uncertainty", gap)
     if limit:
         rows = rows.orderBy("uncertainty", "cluster_id").limit(limit)
-    item = F.row_number().over(Window.orderBy("uncertainty", "cluster_id")) - 1  # a queue for people
-    return rows.select(item.cast("long").alias("item_id"), F.col("cluster_id").cast("long").alias("cluster_id"), "members", "tier", F.col("min_score").alias("score"), "uncertainty", "cpses", F.col("tier_reason").alias("reason"))
+    return with_rank(rows, ["uncertainty", "cluster_id"], "item_id").select("item_id", F.col("cluster_id").cast("long").alias("cluster_id"), "members", "tier", F.col("min_score").alias("score"), "uncertainty", "cpses", F.col("tier_reason").alias("reason"))
 
 
 def decision(seq: int, item, action: str, reviewer: str, comment: str = "", corrected: list[int] | None = None, ts: str | None = None) -> tuple:

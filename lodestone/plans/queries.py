@@ -48,8 +48,8 @@ def _norm_sql(src: str, col: str, out: str = "norm") -> str:
         sub(p, to)
     words = f"list_filter(regexp_split_to_array({steps[-1]}, '[^0-9a-z./:\\-]+'), lambda x: x <> '')"
     abbreviated = f"array_to_string(list_transform({words}, lambda x: coalesce({_map(normalize.ABBREVIATIONS)}[trim(x, './-')], x)), ' ')"
-    united = f"array_to_string(list_transform(list_filter(string_split({abbreviated}, ' '), lambda x: x <> ''), lambda x: coalesce({_map(normalize.UNITS)}[x], x)), ' ')"
-    return f"{out}_f AS (SELECT rid, {folded} AS f FROM {src}), {out} AS (SELECT rid, {united} AS t FROM {out}_f)"
+    united = f"array_to_string(list_transform(list_filter(string_split(a, ' '), lambda x: x <> ''), lambda x: coalesce({_map(normalize.UNITS)}[x], x)), ' ')"
+    return f"{out}_f AS (SELECT rid, {folded} AS f FROM {src}), {out}_a AS (SELECT rid, f, {abbreviated} AS a FROM {out}_f), {out} AS (SELECT rid, {united} AS t FROM {out}_a)"
 
 
 NORM = f"WITH {MATERIALS_SQL}, {_norm_sql('materials', '\"Raw Description\"')}"
@@ -66,12 +66,6 @@ def norm_token_set(spark, sf):
     return materials(spark, sf).groupBy(key.alias("token_key")).agg(F.count("*").alias("n"))
 
 
-@query()
-def norm_trace(spark, sf):
-    t = normalize.normalize_traced(F.col(f"`{S.RAW}`"))
-    return materials(spark, sf).select("rid", t.alias("t")).select("rid", "t.text", F.array_join(normalize.changed_passes(F.col("t")), ",").alias("changed"))
-
-
 # Attributes of the binding, by rules written once more in RE2.
 ATTR_SQL = f"""{NORM}, cols AS (SELECT rid, lower("Material/Grade") AS grade_c, lower("Specification/Standard") AS spec_c,
   CASE WHEN "Dimensions" IS NOT NULL THEN CAST(regexp_extract("Dimensions", '(\\d+) NB', 1) AS DOUBLE) END AS size_c,
@@ -91,16 +85,6 @@ def attr_extract(spark, sf):
     return df.select("rid", "nominal_size_mm", "rating_kva", "grade", "spec_standard", "schedule", "pressure_class", "material_of_construction", F.col("attr_provenance")["nominal_size_mm"].alias("size_from"), "n_known_attributes")
 
 
-@query()
-def attr_column_agreement(spark, sf):
-    return attributes.column_agreement(materials(spark, sf))
-
-
-@query(ATTR_SQL + " SELECT 'nominal_size_mm' AS attribute, avg((nominal_size_mm IS NOT NULL)::INT) AS coverage FROM attrs UNION ALL SELECT 'grade', avg((grade IS NOT NULL)::INT) FROM attrs UNION ALL SELECT 'pressure_class', avg((pressure_class IS NOT NULL)::INT) FROM attrs")
-def attr_coverage(spark, sf):
-    return profile.attribute_coverage(attributes.with_attributes(materials(spark, sf))).where(F.col("attribute").isin("nominal_size_mm", "grade", "pressure_class"))
-
-
 # Blocking on the size of the part itself, so that it can be told in plain SQL.
 def sized(spark: SparkSession, sf: str) -> DataFrame:
     null = F.lit(None)
@@ -226,12 +210,6 @@ def semantic_idf(spark, sf):
     return df.select("term", "df", F.round(F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1, 9).alias("idf"))
 
 
-@query()
-def semantic_tfidf_cosine(spark, sf):
-    texts = materials(spark, sf).select(F.col("rid").alias("id"), normalize.normalize(F.col(f"`{S.RAW}`")).alias("text"))
-    return semantic.sparse_cosine(materialize(semantic.tfidf(texts, semantic.word_terms(F.col("text"))), "q-tfidf"), size_pairs(spark, sf))
-
-
 _FUSE = "greatest(0.0, least(1.0, 0.35 * {s} + 0.4 * {t} + 0.25 * attribute - CASE WHEN hard_conflict THEN 0.3 WHEN n_conflicts > 0 THEN 0.15 ELSE 0.0 END))"
 
 
@@ -315,14 +293,6 @@ def cluster_evaluate(spark, sf):
     return matching.evaluate(c, profile.truth_pairs(material_labels(spark, sf)), records).withColumn("f1", F.round("f1", 9))
 
 
-@query()
-def cluster_edge_sweep(spark, sf):
-    records = materialize(attributed(spark, sf), "q-records")
-    scored = scoring.score_attributes(records, size_pairs(spark, sf))
-    _, sweep = matching.tune_edge_threshold(scored, records, profile.truth_pairs(material_labels(spark, sf)), records.select("rid"), "attribute", [0.5, 0.7, 0.9])
-    return spark.createDataFrame(sweep)
-
-
 @query(f"{_ROLLUP}, o AS (SELECT DISTINCT component, p_brand FROM comp JOIN sized ON sized.rid = node) SELECT p_brand AS owner, count(*) AS n FROM o GROUP BY p_brand")
 def dashboard_clusters_per_owner(spark, sf):
     return profile.clusters_per_owner(clusters_of(spark, sf)[1])
@@ -362,11 +332,6 @@ def truth_category_confusion(spark, sf):
     return profile.category_confusion(typed, profile.truth_pairs(material_labels(spark, sf)))
 
 
-@query()
-def sample_records(spark, sf):
-    return profile.sample(materials(spark, sf), 100).select("rid", F.col(f"`{S.CODE}`").alias("code"))
-
-
 @query(f"""WITH {LABELS_SQL}, g AS (SELECT DISTINCT gt_group FROM labels_), n AS (SELECT count(*) AS n FROM g), p AS (SELECT gt_group, row_number() OVER (ORDER BY md5(gt_group || '|42'), gt_group) AS r FROM g)
 SELECT gt_group, CASE WHEN r <= floor(n * 0.3) THEN 'test' WHEN r <= floor(n * 0.3) + floor(n * 0.15) THEN 'val' ELSE 'train' END AS side FROM p, n""")
 def split_groups(spark, sf):
@@ -421,12 +386,12 @@ def profile_value_counts(spark, sf):
 
 def _null_sql() -> str:
     rows = [f"SELECT '{c}' AS column, avg((\"{c}\" IS NULL OR trim(\"{c}\") = '')::INT) AS null_rate FROM materials" for c in S.ATTRIBUTE_COLUMNS]
-    return f"WITH {MATERIALS_SQL} " + " UNION ALL ".join(rows)
+    return f"WITH {MATERIALS_SQL}, r AS (" + " UNION ALL ".join(rows) + ") SELECT \"column\", null_rate, printf('%.1f%%', null_rate * 100) AS pct FROM r"
 
 
 @query(_null_sql())
 def profile_null_rates(spark, sf):
-    return profile.null_rates(materials(spark, sf)).drop("pct")
+    return profile.null_rates(materials(spark, sf))
 
 
 @query(NORM + f""", {LABELS_SQL}, j AS (SELECT array_to_string(list_sort(list_distinct(string_split(t, ' '))), ' ') AS k, gt_group FROM norm JOIN labels_ USING (rid)),
@@ -444,10 +409,10 @@ def mapping_column_stats(spark, sf):
     return uploads.column_stats(table(spark, sf, "customer").select("c_name", "c_mktsegment"))
 
 
-@query("SELECT 'BUILDING, AUTOMOBILE' IS NOT NULL AS ok, string_agg(s, ', ' ORDER BY o) || '...' AS hint FROM (SELECT c_mktsegment AS s, min(c_custkey) AS o FROM customer GROUP BY 1 ORDER BY o LIMIT 3)")
+@query("SELECT string_agg(s, ', ' ORDER BY o) || '...' AS hint FROM (SELECT c_mktsegment AS s, min(c_custkey) AS o FROM customer GROUP BY 1 ORDER BY o LIMIT 3)")
 def mapping_column_hint(spark, sf):
     df = table(spark, sf, "customer").withColumnRenamed("c_custkey", "rid")
-    return uploads.column_hint(df, "c_mktsegment").select(F.lit(True).alias("ok"), "hint")
+    return uploads.column_hint(df, "c_mktsegment")
 
 
 @query(f"""WITH {MATERIALS_SQL} SELECT 'UOM' AS name, avg((lower(trim("UOM")) IN ({', '.join(f"'{u}'" for u in uploads.UNITS)}))::INT) AS frac_unit FROM materials WHERE trim("UOM") <> ''
@@ -456,13 +421,6 @@ def mapping_unit_columns(spark, sf):
     return uploads.column_stats(materials(spark, sf).select(S.UOM, S.OWNER)).select("name", "frac_unit")
 
 
-@query()
-def mapping_inference(spark, sf):
-    df = materials(spark, sf).select(F.col(S.OWNER).alias("Plant"), F.col(f"`{S.CODE}`").alias("Part No"), F.col(f"`{S.CATEGORY}`").alias("Item Class"), F.col(f"`{S.RAW}`").alias("Long Text"), F.col(S.UOM).alias("UoM"))
-    found = uploads.infer_mapping(df)
-    return spark.createDataFrame([(f, found[f]) for f in uploads.FIELDS], "field string, source string")
-
-
 @query("SELECT p_partkey AS rid, p_brand AS owner, p_name AS category, '' AS sector FROM part")
 def mapping_apply(spark, sf):
     df = table(spark, sf, "part").withColumnRenamed("p_partkey", "rid").withColumn("code", F.col("rid").cast("string"))
@@ -472,13 +430,13 @@ def mapping_apply(spark, sf):
 
 # Registry.
 def _registry(spark: SparkSession, sf: str) -> registry.Registry:
-    """A code for every brand's parts of the smallest sizes, taken as clusters."""
-    p = table(spark, sf, "part").where("p_size <= 3")
+    """A code for the parts of each name, taken as clusters."""
+    p = table(spark, sf, "part")
     clusters = p.groupBy("p_name").agg(F.sort_array(F.collect_list("p_partkey")).alias("members")).select(F.dense_rank().over(Window.orderBy("p_name")).alias("cluster_id"), "members", F.lit("HIGH").alias("tier"))
     return registry.Registry.empty(spark).assign(clusters, materials(spark, sf), created_at="1970-01-01T00:00:00Z")
 
 
-REG_SQL = f"""WITH {MATERIALS_SQL}, c AS (SELECT p_name, dense_rank() OVER (ORDER BY p_name) AS k, p_partkey AS rid FROM part WHERE p_size <= 3),
+REG_SQL = f"""WITH {MATERIALS_SQL}, c AS (SELECT p_name, dense_rank() OVER (ORDER BY p_name) AS k, p_partkey AS rid FROM part),
 f AS (SELECT k, min(rid) AS rid FROM c GROUP BY k), codes AS (SELECT k, 'NM-' || coalesce(MAP {{'Power': 'PW', 'Steel': 'ST', 'Mining': 'MN'}}["Sector"], 'XX') || '-' || upper(left(split_part("Material Category", ' ', 1), 2) || left(split_part("Material Category", ' ', 2), 1)) || '-' || lpad(CAST(k AS VARCHAR), 5, '0') AS cnmc FROM f JOIN materials USING (rid)),
 m AS (SELECT cnmc, c.rid, "CPSE" AS cpse, "CPSE Material Code" AS code, "Raw Description" AS d FROM c JOIN codes USING (k) JOIN materials ON materials.rid = c.rid)"""
 
@@ -511,15 +469,6 @@ def registry_resolve(spark, sf):
     return registry.Registry(entries, spark.createDataFrame([], registry.MEMBERS)).resolve_all()
 
 
-@query()
-def registry_merge_split(spark, sf):
-    reg = _registry(spark, sf)
-    codes = [r.cnmc for r in reg.entries.orderBy("cnmc").limit(2).collect()]
-    merged = reg.merge(codes[0], codes[1])
-    held = [r.rid for r in merged.members.where(F.col("cnmc") == codes[0]).orderBy("rid").collect()]
-    return reg.split(codes[0], [[x] for x in sorted(r.rid for r in reg.members.where(F.col("cnmc") == codes[0]).collect())], materials(spark, sf)).to_frame().drop("Created_At") if len(held) > 1 else merged.to_frame().drop("Created_At")
-
-
 # Governance.
 CUT = "2024-01-08 00:00:00"
 
@@ -606,19 +555,6 @@ def review_apply(spark, sf):
 
 
 # Explanation.
-@query()
-def explain_pair(spark, sf):
-    records = materialize(attributed(spark, sf), "q-records")
-    scored = scoring.score_attributes(records, size_pairs(spark, sf)).withColumns({"semantic": F.lit(0.5), "string": F.lit(0.5), "fused": F.col("attribute")})
-    out = explain.explain_pairs(scored, records, F.lit("MEDIUM"))
-    return out.select("a", "b", explain.render(F.col("verdict"), F.col("score"), F.col("subject"), F.col("lines"), F.col("caveats")).alias("text"))
-
-
-@query()
-def explain_cluster(spark, sf):
-    records, c = clusters_of(spark, sf)
-    out = explain.explain_clusters(c, records)
-    return out.select("cluster_id", explain.render(F.col("verdict"), F.col("score"), F.col("subject"), F.col("lines"), F.col("caveats")).alias("text"))
 
 
 @query()
@@ -633,3 +569,6 @@ def classifier_scores(spark, sf):
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate duplicate pairs of the default scheme."""
     return block_candidate_pairs(spark, sf_dir)
+
+
+from lodestone.plans import flow_queries, rule_queries  # noqa: E402, F401  (they add their queries here)

@@ -57,6 +57,11 @@ def delete(spark: SparkSession, path: str) -> None:
     found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
 
 
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """``df`` itself if it is a table that ``materialize`` gave, else such a table of it."""
+    return df if df in _PATHS else materialize(df, label)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete what ``materialize`` wrote for these tables. Nothing that is still lazy may read them."""
     for df in tables:
