@@ -65,7 +65,7 @@ HOT_LOCAL = 64
 #: Members and tokens of a group of the matrix, about; queries that one copy of a group serves.
 GROUP_MEMBERS, GROUP_TOKENS, GROUP_QUERIES = 1024, 1_000_000, 65_536
 #: Sets and tokens of a chunk that is clustered at once; leaders a chunk keeps; clusterings of leaders by other hashes.
-CHUNK, CHUNK_TOKENS, LEADERS, AGAIN = 4000, 2_000_000, 64, 2
+CHUNK, CHUNK_TOKENS, LEADERS, AGAIN = 4000, 1_000_000, 64, 2
 #: Members of a root that a query is held against before all of them; bytes that one task of the matrix reads, about.
 PROBES, TASK_BYTES = 4, 64 << 20
 CACHE_WORDS = 100_000
@@ -286,7 +286,8 @@ def shared_of(blocks: DataFrame, by: Buckets) -> DataFrame:
             out.append(shared_row(by, names[of[s]], bucket, ref[own], t[own], classes[own]))
         return pa.Table.from_batches([table(out, FOUND)])
 
-    return blocks.groupBy("kind", "bucket").applyInArrow(run, FOUND_SQL)
+    # as many partitions as buckets, at any size: the session's number would put ever more of them in one task
+    return blocks.repartition(by.count, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(run, FOUND_SQL)
 
 
 SETS = pa.schema([("sig", pa.int64()), ("n", pa.int64()), ("g", pa.int64()), ("s", pa.binary())])
@@ -326,7 +327,7 @@ def survivors_of(shared: DataFrame, by: Buckets, percent: int) -> DataFrame:
         ]
         return pa.Table.from_arrays(cols, schema=SETS)
 
-    return shared.groupBy("bucket", "block").applyInArrow(run, "sig long, n long, g long, s binary")
+    return shared.repartition(by.count, "bucket", "block").groupBy("bucket", "block").applyInArrow(run, "sig long, n long, g long, s binary")
 
 
 def similar(a: np.ndarray, na: int, b: np.ndarray, nb: int, percent: int) -> bool:
@@ -378,7 +379,7 @@ def find(top: list[int], i: int) -> int:
     return i
 
 
-def clusters_of(sets: DataFrame, percent: int) -> DataFrame:
+def clusters_of(sets: DataFrame, percent: int, tasks: int = 0) -> DataFrame:
     """(sig, n, comp, s): each part of one minimum hash clustered around leaders, by exact links.
 
     ``comp`` is the signature of a set that the row is linked with by a chain of
@@ -386,7 +387,8 @@ def clusters_of(sets: DataFrame, percent: int) -> DataFrame:
     """
     counts = sets.groupBy("g").agg(F.count("*").alias("c")).where(F.col("c") > CHUNK)
     cut = sets.join(counts, "g", "left").withColumn("part", F.expr(f"pmod(xxhash64(sig, n), cast(ceil(coalesce(c, 1) / {CHUNK}D) as bigint))"))
-    cut = cut.repartition("g", "part").sortWithinPartitions("g", "part", "n", "sig").select("g", "part", "sig", "n", "s")
+    dealt = cut.repartition(tasks, "g", "part") if tasks else cut.repartition("g", "part")
+    cut = dealt.sortWithinPartitions("g", "part", "n", "sig").select("g", "part", "sig", "n", "s")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, last, rows, total = None, None, [], 0
@@ -425,12 +427,12 @@ def other_hash(sets: DataFrame, turn: int) -> DataFrame:
     return sets.select("sig", "n", "s").mapInArrow(run, "sig long, n long, g long, s binary")
 
 
-def rooted(members: DataFrame, percent: int) -> DataFrame:
+def rooted(members: DataFrame, percent: int, tasks: int = 0) -> DataFrame:
     """(comp, root): clusters brought together by clustering their leaders again, by exact links."""
     found = members.select("comp").distinct().withColumn("root", F.col("comp"))
     leaders = members.where("sig = comp").select("sig", "n", "s")
     for turn in range(1, AGAIN + 1):
-        again = materialize(clusters_of(other_hash(leaders, turn), percent), "jaccard-leaders")
+        again = materialize(clusters_of(other_hash(leaders, turn), percent, tasks), "jaccard-leaders")
         found = found.join(again.select(F.col("sig").alias("root"), F.col("comp").alias("next")), "root", "left").select("comp", F.coalesce("next", "root").alias("root"))
         leaders = again.where("sig = comp").select("sig", "n", "s")
     return materialize(found, "jaccard-roots")
@@ -604,8 +606,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     total = sized.agg(F.sum("n")).first()[0] or 0
     by = Buckets(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_TOKENS)))
     found = materialize(survivors_of(shared_of(blocks_of(slim, width, by), by), by, percent), "jaccard-sets")
-    members = materialize(clusters_of(found, percent), "jaccard-members")
-    roots = rooted(members, percent)
+    members = materialize(clusters_of(found, percent, by.count), "jaccard-members")
+    roots = rooted(members, percent, by.count)
     sets = materialize(grouped(members, roots), "jaccard-groups")
     links = root_links(sets, percent)
     comps = connected_components(links).withColumnRenamed("node", "root")
