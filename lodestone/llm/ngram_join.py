@@ -327,7 +327,7 @@ def survivors_of(shared: DataFrame, by: Buckets, percent: int) -> DataFrame:
         ]
         return pa.Table.from_arrays(cols, schema=SETS)
 
-    return shared.repartition(by.count, "bucket", "block").groupBy("bucket", "block").applyInArrow(run, "sig long, n long, g long, s binary")
+    return shared.groupBy("bucket", "block").applyInArrow(run, "sig long, n long, g long, s binary")
 
 
 def similar(a: np.ndarray, na: int, b: np.ndarray, nb: int, percent: int) -> bool:
@@ -379,7 +379,7 @@ def find(top: list[int], i: int) -> int:
     return i
 
 
-def clusters_of(sets: DataFrame, percent: int, tasks: int = 0) -> DataFrame:
+def clusters_of(sets: DataFrame, percent: int) -> DataFrame:
     """(sig, n, comp, s): each part of one minimum hash clustered around leaders, by exact links.
 
     ``comp`` is the signature of a set that the row is linked with by a chain of
@@ -387,8 +387,7 @@ def clusters_of(sets: DataFrame, percent: int, tasks: int = 0) -> DataFrame:
     """
     counts = sets.groupBy("g").agg(F.count("*").alias("c")).where(F.col("c") > CHUNK)
     cut = sets.join(counts, "g", "left").withColumn("part", F.expr(f"pmod(xxhash64(sig, n), cast(ceil(coalesce(c, 1) / {CHUNK}D) as bigint))"))
-    dealt = cut.repartition(tasks, "g", "part") if tasks else cut.repartition("g", "part")
-    cut = dealt.sortWithinPartitions("g", "part", "n", "sig").select("g", "part", "sig", "n", "s")
+    cut = cut.repartition("g", "part").sortWithinPartitions("g", "part", "n", "sig").select("g", "part", "sig", "n", "s")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, last, rows, total = None, None, [], 0
@@ -427,12 +426,12 @@ def other_hash(sets: DataFrame, turn: int) -> DataFrame:
     return sets.select("sig", "n", "s").mapInArrow(run, "sig long, n long, g long, s binary")
 
 
-def rooted(members: DataFrame, percent: int, tasks: int = 0) -> DataFrame:
+def rooted(members: DataFrame, percent: int) -> DataFrame:
     """(comp, root): clusters brought together by clustering their leaders again, by exact links."""
     found = members.select("comp").distinct().withColumn("root", F.col("comp"))
     leaders = members.where("sig = comp").select("sig", "n", "s")
     for turn in range(1, AGAIN + 1):
-        again = materialize(clusters_of(other_hash(leaders, turn), percent, tasks), "jaccard-leaders")
+        again = materialize(clusters_of(other_hash(leaders, turn), percent), "jaccard-leaders")
         found = found.join(again.select(F.col("sig").alias("root"), F.col("comp").alias("next")), "root", "left").select("comp", F.coalesce("next", "root").alias("root"))
         leaders = again.where("sig = comp").select("sig", "n", "s")
     return materialize(found, "jaccard-roots")
@@ -581,7 +580,7 @@ def opened(rows: DataFrame, percent: int, tasks: int) -> DataFrame:
 def root_links(sets: DataFrame, percent: int) -> DataFrame:
     """The token-group matrix: queries by prefix token, bounds by the unions, opened groups."""
     routes = routes_of(sets, percent)
-    blocks = materialize(routes.groupBy("to").agg(F.ceil(F.count("*") / F.lit(float(GROUP_QUERIES))).alias("blocks")), "jaccard-blocks")
+    blocks = routes.groupBy("to").agg(F.ceil(F.count("*") / F.lit(float(GROUP_QUERIES))).alias("blocks"))
     asked = routes.join(blocks, "to").withColumn("qblock", F.pmod(F.xxhash64("sig", "n"), F.col("blocks")))
     queries = sets.select("sig", "n", "root", "s").join(asked, ["sig", "n"]).select(F.col("to").alias("grp"), "qblock", F.lit(1).alias("role"), "n", "root", "s")
     copies = F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)) - 1)
@@ -590,7 +589,7 @@ def root_links(sets: DataFrame, percent: int) -> DataFrame:
     sent = (count + routes.count()) * size // max(1, count)
     tasks = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sent // TASK_BYTES))
     links = materialize(opened(held.unionByName(queries), percent, tasks).distinct(), "jaccard-links")
-    drop(routes, blocks)
+    drop(routes)
     return links
 
 
@@ -606,8 +605,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     total = sized.agg(F.sum("n")).first()[0] or 0
     by = Buckets(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_TOKENS)))
     found = materialize(survivors_of(shared_of(blocks_of(slim, width, by), by), by, percent), "jaccard-sets")
-    members = materialize(clusters_of(found, percent, by.count), "jaccard-members")
-    roots = rooted(members, percent, by.count)
+    members = materialize(clusters_of(found, percent), "jaccard-members")
+    roots = rooted(members, percent)
     sets = materialize(grouped(members, roots), "jaccard-groups")
     links = root_links(sets, percent)
     comps = connected_components(links).withColumnRenamed("node", "root")
