@@ -3,6 +3,12 @@
 Records carry ``rid``. Blocks larger than ``MAX_BLOCK`` are cut in the order of
 rid; the ranks are found by ranges of rid, so that a key of very many records is
 never ranked in one task. Pairs come from blocks of at most ``MAX_BLOCK``.
+
+A missing category is the category "nan", a missing or unreadable size the bucket
+"na"; a signature needs a size and one other part. A record without a key is in
+no block. Repeated keys of a record count once in its pairs, a pair of several
+families comes once. Empty tables give no blocks, no pairs, and counts of zero;
+other columns are ignored.
 """
 
 from __future__ import annotations

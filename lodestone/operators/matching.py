@@ -4,6 +4,12 @@ Edges are a table (a, b, w). Components come from large-star/small-star; only
 components whose mean weight is under the cohesion floor are split, each by its
 maximum spanning tree (cutting the lightest tree edge is the first cut that
 disconnects when edges are removed lightest first; ties go by (w, a, b)).
+
+A null score is under every threshold. Records without an edge are in no cluster.
+Repeated edges count in means and not in components. Members that aren't among
+the records are left out of a cluster. Empty graphs give no clusters, all four
+tiers with zero, and metrics of 0; other columns are ignored. A loose component
+is split in one task, as its tree is cut edge by edge.
 """
 
 from __future__ import annotations

@@ -1,4 +1,9 @@
-"""Profiles, label summaries, examples, savings and the runtime model."""
+"""Profiles, label summaries, examples, savings and the runtime model.
+
+Nulls and blanks are missing values. Records of a null group have no truth. Rates
+without a base are 0. Empty tables give one row of zeros, or no rows; other
+columns are ignored.
+"""
 
 from __future__ import annotations
 

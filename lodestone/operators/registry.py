@@ -3,6 +3,12 @@
 entries: cnmc, status, superseded_by, created_at, created_by, tier, canonical_description.
 members: cnmc, cpse, code, legacy, rid, description, pos (order within the entry).
 Sequence numbers go on from the largest ever issued; batches are issued by one writer.
+
+Null sectors are the other sector, null categories the general one; a null tier is
+an empty text. A record is held by one active code: assigning it again is refused.
+Clusters without known records get no code. An empty list of clusters leaves the registry as
+it is; unknown codes are refused by name; ties of descriptions go to the first
+member. Other columns of records are ignored.
 """
 
 from __future__ import annotations

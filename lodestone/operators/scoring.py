@@ -2,6 +2,13 @@
 
 Pairs (a, b) meet their records by two joins on rid; only the compared columns
 travel. Everything but the string channel is Column expressions.
+
+Null, NaN and blank attributes are missing and compare with nothing; a pair with
+nothing to compare scores one half. Null and empty texts are alike with nothing
+(0), a record without a vector has a semantic score of 0. Texts are read whole.
+Pairs whose records aren't there are left out; repeated pairs give repeated rows.
+Empty tables give empty results; columns of the caller's beside a and b are kept
+by the channels and left out by ``score_pairs``.
 """
 
 from __future__ import annotations

@@ -12,12 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from lodestone import settings as S
-from lodestone.storage import materialize
+from lodestone.storage import drop, materialize
 
 BACKENDS = ("tfidf_svd", "sbert", "auto")
 
@@ -85,52 +85,217 @@ def _summed(rows: DataFrame, width: int, f, columns: int) -> np.ndarray:
     return np.concatenate([np.frombuffer(r.m) for r in sums.orderBy("block").collect()]).reshape(width, columns)  # width x columns, both bounded
 
 
-def right_basis(rows: DataFrame, width: int, k: int, seed: int = S.SEED, passes: int = 5) -> np.ndarray:
-    """The first k right singular vectors: of the Gramian up to 2,048 columns, else by randomized subspace iteration."""
-    if width <= 2048:
-        values, vectors = np.linalg.eigh(_summed(rows, width, lambda x: x.T @ x, width))
-        return vectors[:, ::-1][:, :k]
-    size = min(width, k + 10)
-    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(width, size)))[0]
-    for _ in range(passes):
-        q = np.linalg.qr(_summed(rows, width, lambda x, q=q: x.T @ (x @ q), size))[0]
-    small = q.T @ _summed(rows, width, lambda x: x.T @ (x @ q), size)
-    values, turn = np.linalg.eigh((small + small.T) / 2)
-    return q @ turn[:, ::-1][:, :k]
+class OneBlock:
+    """A vocabulary of one block: the basis is an array that is broadcast."""
+
+    def __init__(self, cells: DataFrame, width: int):
+        self.cells, self.width = cells, width
+
+    def exact(self, k: int) -> np.ndarray:
+        """The first k right singular vectors, from the Gramian."""
+        return np.linalg.eigh(_summed(self.cells, self.width, lambda x: x.T @ x, self.width))[1][:, ::-1][:, :k]
+
+    def start(self, size: int, seed: int) -> np.ndarray:
+        return np.random.default_rng(seed).normal(size=(self.width, size))
+
+    def gramian(self, z: np.ndarray) -> np.ndarray:
+        return z.T @ z
+
+    def turned(self, z: np.ndarray, by: np.ndarray) -> np.ndarray:
+        return z @ by
+
+    def multiplied(self, q: np.ndarray) -> np.ndarray:
+        return _summed(self.cells, self.width, lambda x: x.T @ (x @ q), q.shape[1])
+
+    def projected(self, basis: np.ndarray) -> DataFrame:
+        held, width = self.cells.sparkSession.sparkContext.broadcast(basis), self.width
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for at in range(0, len(batch), 256):
+                    part = batch.iloc[at : at + 256]
+                    yield pd.DataFrame({"id": part["id"], "y": [v.tobytes() for v in _dense(part, width) @ held.value]})
+
+        return self.cells.select("id", "j", "w").mapInPandas(run, f"id {self.cells.schema['id'].dataType.simpleString()}, y binary")
+
+
+def _added(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value): the sum of the vectors (doubles as bytes) of each key. One key's vectors stream by."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, acc = None, None
+        for batch in batches:
+            keys, sums = [], []
+            for k, v in zip(batch[key], batch[value]):
+                if acc is not None and k == at:
+                    acc = acc + np.frombuffer(v)
+                    continue
+                if acc is not None:
+                    keys.append(at)
+                    sums.append(acc.tobytes())
+                at, acc = k, np.frombuffer(v)
+            yield pd.DataFrame({key: pd.Series(keys, dtype=object), value: pd.Series(sums, dtype=object)})
+        if acc is not None:
+            yield pd.DataFrame({key: [at], value: [acc.tobytes()]})
+
+    return rows.select(key, value).repartition(key).sortWithinPartitions(key).mapInPandas(run, f"{key} {kind}, {value} binary")
+
+
+class ManyBlocks:
+    """A vocabulary of any size: the basis is a table (b, m) of blocks of terms, nothing of its length is ever in one place.
+
+    ``cells`` is (id, b, j, w): a row's terms in a block. A hot block's cells are dealt
+    to several tasks, each of which is sent the block's part of the basis.
+    """
+
+    SALT_ROWS = 50_000
+
+    def __init__(self, cells: DataFrame, columns: int = 0):
+        self.cells, self.columns = cells, columns
+        self.id_kind = cells.schema["id"].dataType.simpleString()
+        sizes = cells.groupBy("b").agg((F.max(F.array_max("j")) + 1).alias("n"), F.ceil(F.count("*") / float(self.SALT_ROWS)).alias("salts"))
+        self.sizes = materialize(sizes, "svd-blocks")
+        salted = cells.join(self.sizes.select("b", "salts"), "b").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts"))).drop("salts")
+        self.salted = materialize(salted, "svd-cells")
+
+    def start(self, size: int, seed: int) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield pd.DataFrame({"b": batch["b"], "m": [np.random.default_rng([seed, b]).normal(size=(n, size)).tobytes() for b, n in zip(batch["b"], batch["n"])]})
+
+        self.columns = size
+        return materialize(self.sizes.mapInPandas(run, "b long, m binary"), "svd-basis")
+
+    def gramian(self, z: DataFrame) -> np.ndarray:
+        size = self.columns
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            acc = np.zeros((size, size))
+            for batch in batches:
+                for m in batch["m"]:
+                    x = np.frombuffer(m).reshape(-1, size)
+                    acc += x.T @ x
+            yield pd.DataFrame({"one": [0], "m": [acc.tobytes()]})
+
+        return np.frombuffer(_added(z.mapInPandas(run, "one int, m binary"), "one", "m").first().m).reshape(size, size)
+
+    def turned(self, z: DataFrame, by: np.ndarray) -> DataFrame:
+        size = self.columns
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield pd.DataFrame({"b": batch["b"], "m": [(np.frombuffer(m).reshape(-1, size) @ by).tobytes() for m in batch["m"]]})
+
+        self.columns = by.shape[1]
+        return materialize(z.mapInPandas(run, "b long, m binary"), "svd-basis")
+
+    def projected(self, q: DataFrame) -> DataFrame:
+        """(id, y): the rows times the basis."""
+        size = self.columns
+        none = F.lit(None)
+        held = q.join(self.sizes, "b").select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), none.cast(self.id_kind).alias("id"), none.cast("array<int>").alias("j"), none.cast("array<double>").alias("w"), "m")
+        rows = self.salted.select("b", "salt", F.lit(1).alias("role"), "id", "j", "w", none.cast("binary").alias("m"))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            basis = np.zeros((0, size))
+            for batch in batches:
+                ids, out = [], []
+                for role, i, j, w, m in zip(batch["role"], batch["id"], batch["j"], batch["w"], batch["m"]):
+                    if role == 0:
+                        basis = np.frombuffer(m).reshape(-1, size)
+                    else:
+                        ids.append(i)
+                        out.append((np.asarray(w) @ basis[np.asarray(j)]).tobytes())
+                yield pd.DataFrame({"id": pd.Series(ids, dtype=object), "y": pd.Series(out, dtype=object)})
+
+        dealt = held.unionByName(rows).repartition("b", "salt").sortWithinPartitions("b", "salt", "role")
+        return _added(dealt.mapInPandas(run, f"id {self.id_kind}, y binary"), "id", "y")
+
+    def multiplied(self, q: DataFrame) -> DataFrame:
+        size = self.columns
+        y = materialize(self.projected(q), "svd-projected")
+        rows = self.salted.join(y, "id").join(self.sizes.select("b", "n"), "b").select("b", "salt", "n", "j", "w", "y")
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            at, acc = None, None
+            for batch in batches:
+                done: list[tuple[int, bytes]] = []
+                for b, salt, n, j, w, v in zip(batch["b"], batch["salt"], batch["n"], batch["j"], batch["w"], batch["y"]):
+                    if (b, salt) != at:
+                        if acc is not None:
+                            done.append((at[0], acc.tobytes()))
+                        at, acc = (b, salt), np.zeros((n, size))
+                    acc[np.asarray(j)] += np.asarray(w)[:, None] * np.frombuffer(v)[None]  # a row has a term once
+                yield pd.DataFrame({"b": pd.Series([b for b, _ in done], dtype=object), "m": pd.Series([m for _, m in done], dtype=object)})
+            if acc is not None:
+                yield pd.DataFrame({"b": [at[0]], "m": [acc.tobytes()]})
+
+        parts = rows.repartition("b", "salt").sortWithinPartitions("b", "salt").mapInPandas(run, "b long, m binary")
+        out = materialize(_added(parts, "b", "m"), "svd-basis")
+        drop(y)
+        return out
+
+
+def iterated_basis(matrix: OneBlock | ManyBlocks, size: int, k: int, seed: int = S.SEED, tolerance: float = 1e-7, most: int = 40):
+    """The first k right singular vectors by subspace iteration, until the k singular values stand still."""
+
+    def whitened(z, keep: int):
+        values, turn = np.linalg.eigh(matrix.gramian(z))
+        values, turn = np.maximum(values[::-1][:keep], 0.0), turn[:, ::-1][:, :keep]
+        good = values > 1e-14 * max(values[0], 1e-300)
+        out = matrix.turned(z, turn[:, good] / np.sqrt(values[good]))
+        if isinstance(z, DataFrame):
+            drop(z)
+        return out, np.sqrt(values)
+
+    q, _ = whitened(matrix.start(size, seed), size)
+    last = None
+    for _ in range(most):
+        z = matrix.multiplied(q)
+        if isinstance(q, DataFrame):
+            drop(q)
+        q, values = whitened(z, size)
+        q, _ = whitened(q, size)  # once more, for what rounding left
+        still = last is not None and len(last) == len(values) and np.abs(values[:k] - last[:k]).max() <= tolerance * values[0]
+        if still:
+            break
+        last = values
+    return whitened(matrix.multiplied(q), k)[0]
+
+
+#: Terms of a block, and terms up to which the basis comes from the Gramian at once.
+BLOCK_TERMS, GRAMIAN_TERMS = 8192, 2048
 
 
 def svd_vectors(weights: DataFrame, ids: DataFrame, components: int) -> DataFrame:
     """(id, v): projections on the first right singular vectors, of length one (zeros without terms).
 
-    A vocabulary of over 2^14 terms is indexed by hash buckets, which bounds the basis.
+    Every term has a column of its own, whatever the size of the vocabulary: terms
+    are dealt to blocks, and beyond one block the basis is a table of blocks.
     """
     terms = weights.select("term").distinct()
     size = terms.count()
     if size == 0:
         return ids.select("id", F.array(F.lit(0.0)).alias("v"))
-    width = min(size, 1 << 14)
-    if size <= width:
-        ordered = [r.term for r in terms.orderBy("term").collect()]  # at most 2^14 terms
-        index = weights.sparkSession.createDataFrame([(t, i) for i, t in enumerate(ordered)], "term string, i int")
-        placed = weights.join(F.broadcast(index), "term")
-    else:
-        placed = weights.withColumn("i", F.pmod(F.xxhash64("term"), F.lit(width)).cast("int"))
-    pairs = placed.groupBy("id", "i").agg(F.sum("weight").alias("x")).groupBy("id").agg(F.collect_list("i").alias("j"), F.collect_list("x").alias("w"))
-    rows = materialize(pairs, "svd-rows")
-    basis = right_basis(rows, width, min(components, max(2, ids.count() - 1), width))
-    held = weights.sparkSession.sparkContext.broadcast(basis)
-
-    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    blocks = -(-size // BLOCK_TERMS)
+    place = F.row_number().over(Window.partitionBy("b").orderBy("term")) - 1  # a block's terms
+    index = materialize(terms.withColumn("b", F.pmod(F.xxhash64("term"), F.lit(blocks)).cast("long")).withColumn("i", place.cast("int")), "svd-terms")
+    cells = weights.join(index, "term").groupBy("id", "b").agg(F.collect_list("i").alias("j"), F.collect_list("weight").alias("w"))
+    cells = materialize(cells, "svd-rows")
+    k = min(components, max(2, ids.count() - 1), size)
+    matrix = OneBlock(cells, size) if blocks == 1 else ManyBlocks(cells)
+    basis = matrix.exact(k) if blocks == 1 and size <= GRAMIAN_TERMS else iterated_basis(matrix, min(size, k + 20), k)
+    found = matrix.projected(basis)
+
+    def unit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
-                v = _dense(part, width) @ held.value
-                norm = np.linalg.norm(v, axis=1, keepdims=True)
-                yield pd.DataFrame({"id": part["id"], "v": list(v / np.where(norm > 0, norm, 1))})
+            rows = [np.frombuffer(y) for y in batch["y"]]
+            yield pd.DataFrame({"id": batch["id"], "v": [y / (np.linalg.norm(y) or 1.0) for y in rows]})
 
     kind = ids.schema["id"].dataType.simpleString()
-    zero = F.array_repeat(F.lit(0.0), basis.shape[1])
-    return ids.join(rows.mapInPandas(project, f"id {kind}, v array<double>"), "id", "left").select("id", F.coalesce("v", zero).alias("v"))
+    zero = F.array_repeat(F.lit(0.0), k)
+    return ids.join(found.mapInPandas(unit, f"id {kind}, v array<double>"), "id", "left").select("id", F.coalesce("v", zero).alias("v"))
 
 
 class SemanticEncoder:
@@ -176,11 +341,11 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def joined(a: pd.Series, b: pd.Series) -> pd.Series:
+def joined(a: str, b: str) -> Column:
     """Both halves as one vector of length one."""
-    out = [np.concatenate([x, y]) for x, y in zip(a, b)]
-    return pd.Series([v / max(np.linalg.norm(v), 1e-9) for v in out])
+    both = F.concat(a, b)
+    norm = F.sqrt(F.aggregate(both, F.lit(0.0), lambda s, x: s + x * x))
+    return F.transform(both, lambda x: x / F.greatest(norm, F.lit(1e-9)))
 
 
 def semantic_similarity(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
