@@ -237,7 +237,7 @@ class ManyBlocks:
         return out
 
 
-def iterated_basis(matrix: OneBlock | ManyBlocks, size: int, k: int, seed: int = S.SEED, tolerance: float = 1e-7, most: int = 40):
+def iterated_basis(matrix: OneBlock | ManyBlocks, size: int, k: int, seed: int = S.SEED, tolerance: float = 1e-5, most: int = 12):
     """The first k right singular vectors by subspace iteration, until the k singular values stand still."""
 
     def whitened(z, keep: int):
@@ -344,8 +344,9 @@ def dot(a: Column, b: Column) -> Column:
 def joined(a: str, b: str) -> Column:
     """Both halves as one vector of length one."""
     both = F.concat(a, b)
-    norm = F.sqrt(F.aggregate(both, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(both, lambda x: x / F.greatest(norm, F.lit(1e-9)))
+    norm = F.greatest(F.sqrt(F.aggregate(both, F.lit(0.0), lambda s, x: s + x * x)), F.lit(1e-9))
+    # the length is bound once by the outer lambda, not told anew for each element
+    return F.get(F.transform(F.array(norm), lambda n: F.transform(both, lambda x: x / n)), F.lit(0))
 
 
 def semantic_similarity(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
