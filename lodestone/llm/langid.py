@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lodestone.llm.worker import enter, settle
 
@@ -42,7 +43,7 @@ WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 BUCKETS = 1 << 16
 WINDOW = 16
-CACHE_WORDS = 120_000
+CACHE_WORDS = 60_000
 GROUP_CELLS, SLICE = 200_000, 2048  # words of texts that run together; texts labelled at once
 
 
@@ -284,6 +285,8 @@ def label(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
     key = uuid.uuid4().hex  # workers keep a model by this name
     held = spark.sparkContext.broadcast((key, chain.languages, chain.weights, chain.transitions))
     keep = carry if carry is not None else [id_col]
+    # a text that is carried is not sent twice
+    at_text = keep.index(text_col) if text_col in keep and docs.schema[text_col].dataType == StringType() else len(keep)
     fields = [docs.select(F.col(f"`{c}`")).schema[0] for c in keep]
     names = [f"c{i}" for i in range(len(keep))]
 
@@ -297,11 +300,12 @@ def label(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                langs, scores = model.predict(part.column(len(keep)).to_pylist())
+                langs, scores = model.predict(part.column(at_text).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
         settle()
 
-    slim = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], F.col(text_col).cast("string").alias("t"))
+    text = [F.col(text_col).cast("string").alias("t")] if at_text == len(keep) else []
+    slim = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], *text)
     kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, fields))
     out = slim.mapInArrow(run, f"{kinds}, lang_pred string, score double")
     return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "lang_pred", "score")
