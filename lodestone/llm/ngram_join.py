@@ -59,7 +59,7 @@ from lodestone.operators.graph import connected_components
 from lodestone.storage import drop, materialize
 
 #: Tokens of one block of documents, of one token bucket; documents in one block.
-BLOCK_TOKENS, BUCKET_TOKENS, BLOCK_DOCS = 1_000_000, 2_500_000, 60_000
+BLOCK_TOKENS, BUCKET_TOKENS, BLOCK_DOCS = 1_000_000, 1_500_000, 60_000
 #: Sets of one block that make a token hot.
 HOT_LOCAL = 64
 #: Members and tokens of a group of the matrix, about; queries that one copy of a group serves.
@@ -68,7 +68,7 @@ GROUP_MEMBERS, GROUP_TOKENS, GROUP_QUERIES = 1024, 1_000_000, 65_536
 CHUNK, CHUNK_TOKENS, LEADERS, AGAIN = 4000, 1_000_000, 64, 2
 #: Members of a root that a query is held against before all of them; bytes that one task of the matrix reads, about.
 PROBES, TASK_BYTES = 4, 64 << 20
-CACHE_WORDS = 100_000
+CACHE_WORDS = 50_000
 #: Ranges that a token bucket is worked through in, to hold less at once.
 PASSES = 4
 HOT_CLASS = 15
