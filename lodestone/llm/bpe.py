@@ -45,8 +45,8 @@ from lodestone.llm.worker import Memo, enter, settle
 WORD_END = "</w>"
 NEVER = 1 << 60
 #: Words of a generation whose encoding a worker remembers, and arcs it remembers.
-CACHE_WORDS = 100_000
-CACHE_ARCS = 300_000
+CACHE_WORDS = 60_000
+CACHE_ARCS = 150_000
 
 
 def byte_symbols() -> list[str]:
