@@ -51,6 +51,17 @@ def channel_means(spark, sf):
     return rows.groupBy("label").agg(F.count("*").alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in ("semantic", "string", "attribute", "fused", "n_conflicts")])
 
 
+# Both halves of the string channel, over the whole normalized texts.
+_WORDS = "list_distinct(list_filter(string_split({t}, ' '), lambda w: w <> ''))"
+
+
+@query(f"""{PAIR_SQL}, tp AS (SELECT DISTINCT x.t AS a, y.t AS b FROM cs JOIN norm x ON x.rid = cs.a JOIN norm y ON y.rid = cs.b), np AS (SELECT a, b, {_WORDS.format(t='a')} AS x, {_WORDS.format(t='b')} AS y FROM tp), {NAMES_SQL[NAMES_SQL.index('parts_ AS'):]}
+SELECT cs.a, cs.b, round(CASE WHEN x.t = y.t THEN 1.0::DOUBLE ELSE 0.5 * jaro_winkler_similarity(x.t, y.t) + 0.5 * token_set / 100 END, 6) AS string FROM cs JOIN norm x ON x.rid = cs.a JOIN norm y ON y.rid = cs.b LEFT JOIN sets_ s ON s.a = x.t AND s.b = y.t""")
+def score_strings(spark, sf):
+    rows = scoring.score_strings(materials(spark, sf), size_pairs(spark, sf).select("a", "b"))
+    return rows.select("a", "b", F.round("string", 6).alias("string"))
+
+
 # Sparse cosines of the word half.
 @query(NORM + f""", {PAIR_SQL[PAIR_SQL.index('sized AS'):]}, n AS (SELECT count(*) AS n FROM norm), words_ AS (SELECT rid, regexp_extract_all(t, '\\w\\w+') AS l FROM norm),
 terms AS (SELECT rid, unnest(l) AS term FROM words_ UNION ALL SELECT rid, l[i] || ' ' || l[i + 1] FROM (SELECT rid, l, unnest(range(1, len(l))) AS i FROM words_)),
@@ -386,3 +397,15 @@ def explain_cluster(spark, sf):
     scored = explained_scores(records, size_pairs(spark, sf))
     out = explain.explain_clusters(c, records, scored)
     return out.select("cluster_id", explain.render(F.col("verdict"), F.col("score"), F.col("subject"), F.col("lines"), F.col("caveats")).alias("text"))
+
+
+@query()
+def classifier_scores(spark, sf):
+    """Both models over the default pairs with all three channels, reported on the held-out groups."""
+    scored = materialize(channels_of(spark, sf), "q-scored")
+    labels = material_labels(spark, sf)
+    out = []
+    for name, rounds in (("logistic_regression", 0), ("gradient_boosting", 40)):
+        _, r = classify.train(scored, labels, name, iterations=rounds)
+        out.append((r.model_name, r.n_train_pairs, r.n_val_pairs, r.n_test_pairs, r.n_discarded_pairs, r.precision, r.recall, r.f1, r.average_precision, r.tiers.high, r.tiers.medium))
+    return spark.createDataFrame(out, "model string, n_train long, n_val long, n_test long, n_discarded long, precision double, recall double, f1 double, average_precision double, high double, medium double")

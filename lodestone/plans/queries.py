@@ -185,11 +185,6 @@ def score_jaro_winkler(spark, sf):
     return p.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.round(strings.jaro_winkler_udf("x.t", "y.t"), 9).alias("jaro_winkler"))
 
 
-@query()
-def score_strings(spark, sf):
-    return scoring.score_strings(materials(spark, sf), size_pairs(spark, sf).select("a", "b")).select("a", "b", "string")
-
-
 @query("""SELECT x.vec_id AS a, y.vec_id AS b, round(greatest(0.0, least(1.0, list_dot_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[]))), 9) AS semantic
 FROM embeddings x JOIN embeddings y ON x.label = y.label AND y.vec_id = x.vec_id + 10""")
 def score_semantic(spark, sf):
@@ -557,15 +552,6 @@ def review_apply(spark, sf):
 # Explanation.
 
 
-@query()
-def classifier_scores(spark, sf):
-    """Logistic regression over the attribute channel; the string and semantic channels come from the binding."""
-    records = materialize(attributed(spark, sf), "q-records")
-    scored = materialize(scoring.score_strings(records, scoring.score_attributes(records, size_pairs(spark, sf))).withColumn("semantic", F.col("string")), "q-scored")
-    model, report = classify.train(scored, material_labels(spark, sf), "logistic_regression")
-    return spark.createDataFrame([(report.model_name, report.n_train_pairs, report.n_test_pairs, report.precision, report.recall, report.f1)], "model string, n_train long, n_test long, precision double, recall double, f1 double")
-
-
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate duplicate pairs of the default scheme."""
     return block_candidate_pairs(spark, sf_dir)
