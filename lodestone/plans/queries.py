@@ -177,7 +177,7 @@ def score_attributes(spark, sf):
     return rows.select("a", "b", "attribute", "n_agree_attrs", "n_conflicts", "n_comparable_attrs", "hard_conflict", "cross_cpse")
 
 
-@query("""WITH d AS (SELECT doc_id, substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 80) AS t FROM documents), p AS (SELECT x.doc_id AS a, y.doc_id AS b, x.t AS s, y.t AS t FROM d x JOIN d y ON y.doc_id = x.doc_id + 1 WHERE length(x.t) > 0 AND length(y.t) > 0)
+@query("""WITH d AS (SELECT doc_id, regexp_replace(text, '[^ -~]', '', 'g') AS t FROM documents), p AS (SELECT x.doc_id AS a, y.doc_id AS b, x.t AS s, y.t AS t FROM d x JOIN d y ON y.doc_id = x.doc_id + 1 WHERE length(x.t) > 0 AND length(y.t) > 0)
 SELECT a, b, round(jaro_winkler_similarity(s, t), 9) AS jaro_winkler FROM p""")
 def score_jaro_winkler(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", "[^ -~]", "").alias("t")).where(F.length("t") > 0)
