@@ -56,3 +56,19 @@ def test_attributes_of_different_texts_are_those_of_every_text(spark, sf):
     every = with_attributes(df)
     assert told(once.select(*every.columns)) == told(every)
     assert "Exchange" not in every._jdf.queryExecution().executedPlan().toString()
+
+
+def test_labels_count_as_their_pairs(spark, records):
+    from lodestone.operators import matching
+    from lodestone.operators.profile import truth_pairs
+
+    blocks = blocking.build_blocks(records)
+    scored = scoring.score_attributes(records, blocking.candidate_pairs(blocks, 20)).localCheckpoint()
+    labels = spark.range(140).select(F.col("id").alias("rid"), F.when(F.col("id") % 11 > 0, (F.col("id") % 8).cast("string")).alias("gt_group"))
+    held, grid = records.where("rid % 3 > 0").select("rid"), [0.3, 0.6, 0.9]
+    want = matching.tune_edge_threshold(scored, records, truth_pairs(labels), held, "attribute", grid)
+    got = matching.tune_edge_threshold(blockwise.score_blocks(records, blocks, 20, forest=True), records, labels, held, "attribute", grid)
+    assert got[0] == want[0] and got[1].values.tolist() == want[1].values.tolist()
+    clusters = spark.createDataFrame([(0, list(range(0, 40)), "HIGH"), (1, list(range(40, 160)), "MEDIUM"), (2, [160, 161], "LOW")], "cluster_id long, members array<long>, tier string")
+    told = lambda t: sorted(map(repr, matching.evaluate(clusters, t, records).collect()))
+    assert told(labels) == told(truth_pairs(labels))
