@@ -97,6 +97,12 @@ def explain_pairs(scored: DataFrame, records: DataFrame, verdict: Column, score:
     )
 
 
+def weakest_pairs(clusters: DataFrame) -> DataFrame:
+    """(cluster_id, a, b, tier): the pair with the least score of each cluster that has edges."""
+    weakest = clusters.where(F.size("edges") > 0).select("cluster_id", "tier", F.array_min(F.transform("edges", lambda e: F.struct(e["w"].alias("w"), e["a"].alias("a"), e["b"].alias("b")))).alias("e"))
+    return weakest.select("cluster_id", F.least("e.a", "e.b").alias("a"), F.greatest("e.a", "e.b").alias("b"), "tier")
+
+
 def explain_clusters(clusters: DataFrame, records: DataFrame, scored: DataFrame | None = None, score: str = "fused", hard: list[str] | None = None) -> DataFrame:
     """(cluster_id, verdict, score, subject, lines, caveats); with scored pairs also the weakest link, attribute by attribute."""
     owner, code, raw = (F.coalesce(F.col(f"r.{c}"), F.lit("")) for c in ("_own", "_code", "_raw"))
@@ -107,8 +113,7 @@ def explain_clusters(clusters: DataFrame, records: DataFrame, scored: DataFrame
     c = clusters.join(told, "cluster_id", "left")
     none = F.array().cast(f"array<{LINE}>")
     if scored is not None:
-        weakest = clusters.where(F.size("edges") > 0).select("cluster_id", "tier", F.array_min(F.transform("edges", lambda e: F.struct(e["w"].alias("w"), e["a"].alias("a"), e["b"].alias("b")))).alias("e"))
-        weakest = weakest.select("cluster_id", F.least("e.a", "e.b").alias("a"), F.greatest("e.a", "e.b").alias("b"), "tier")
+        weakest = weakest_pairs(clusters)
         detail = explain_pairs(weakest.join(scored, ["a", "b"]), records, F.col("tier"), score, hard, False)
         detail = detail.join(weakest.select("a", "b", "cluster_id"), ["a", "b"]).select("cluster_id", F.col("lines").alias("_d"), F.col("caveats").alias("_c"))
         c = c.join(detail, "cluster_id", "left")
