@@ -21,3 +21,8 @@ def test_edges_of_a_partition_are_contracted(spark):
 
 def test_sizes_come_from_the_rows_of_the_records(spark, sf):
     assert "Join" not in queries.sized(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_best_candidates_score_their_blocks_once(spark, sf):
+    plan = queries.QUERIES["score_top_k"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 1
