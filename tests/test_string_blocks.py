@@ -30,3 +30,22 @@ def test_strings_of_blocks(spark):
     got = blockwise.string_blocks(df, blocks, most=20)
     assert told(got) == told(scoring.score_strings(df, blocking.candidate_pairs(blocks, 20)))
     assert "_ta" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cosines_of_blocks(spark, monkeypatch):
+    from lodestone.operators import semantic
+
+    r = F.col("id")
+    texts = spark.range(90).select("id", F.when(r % 13 > 0, F.concat_ws(" ", F.lit("bolt"), *[F.concat(F.lit("w"), r % k) for k in (3, 5, 7)])).alias("text"))
+    df = texts.select(r.alias("rid"), F.lit("hot bolt").alias(S.CATEGORY), F.lit(5.0).alias("nominal_size_mm"))
+    weights = semantic.tfidf(texts, semantic.word_terms(F.coalesce("text", F.lit("")))).localCheckpoint()
+    blocks = blocking.build_blocks(df)
+    told = lambda d: sorted((x.a, x.b, round(x.cosine, 9)) for x in d.select("a", "b", "cosine").collect())
+    got = blockwise.cosine_blocks(weights, blocks, most=20)
+    assert told(got) == told(semantic.sparse_cosine(weights, blocking.candidate_pairs(blocks, 20)))
+    # more terms than columns at a time
+    import pyarrow as pa
+
+    monkeypatch.setattr(blockwise, "WIDE", 2)
+    x = blockwise._cosines(pa.array([["a", "b", "c"], None, ["c", "d", "a"]]), pa.array([[1.0, 2.0, 3.0], None, [4.0, 5.0, 6.0]]), 3)
+    assert x.tolist() == [[14.0, 0.0, 18.0], [0.0, 0.0, 0.0], [18.0, 0.0, 77.0]]
