@@ -46,3 +46,15 @@ def test_rounding_is_that_of_spark(spark):
     x = np.concatenate([rng.random(3000), (rng.integers(0, 10**6, 3000) + 0.5) / 1e6, np.nextafter((rng.integers(0, 10**6, 3000) + 0.5) / 1e6, 0), [0.0, 1.0, -0.0000005, -0.3000005]])
     want = [r[0] for r in spark.createDataFrame([(float(v),) for v in x], "x double").select(F.round("x", 6)).collect()]
     assert rounded(x, 6).tolist() == want
+
+
+def test_labelled_blocks_train_as_pairs_do(inputs):
+    df, blocks, vectors, labels = inputs
+    scored = scoring.score_pairs(df, blocking.candidate_pairs(blocks, 20), vectors).localCheckpoint()
+    want = classify.label_pairs(classify.group_disjoint_split(scored, labels), labels)
+    got = blockwise.labelled_blocks(df, blocks, vectors, labels, classify.record_sides(labels), most=20).localCheckpoint()
+    told = lambda d: sorted(map(repr, d.where("split <> 'discarded'").select("a", "b", "label", "split", *[F.round(F.col(f).cast("double"), 9) for f in classify.FEATURES]).collect()))
+    assert told(got) == told(want)
+    assert got.where("split = 'discarded'").agg(F.sum("n")).first()[0] == want.where("split = 'discarded'").count() > got.where("split = 'discarded'").count()
+    numbers = lambda r: [r.n_train_pairs, r.n_val_pairs, r.n_test_pairs, r.n_discarded_pairs, r.threshold, *[round(x, 6) for x in (r.precision, r.recall, r.f1, r.average_precision)]]
+    assert numbers(classify.train(got, labels, "logistic_regression")[1]) == numbers(classify.train(scored, labels, "logistic_regression")[1])
