@@ -49,6 +49,10 @@ def test_forests_of_whole_blocks_have_the_components_of_all_pairs(records, block
         assert all(told[r.a, r.b] == r.attribute for r in got.collect())
     got = matching.members_at(want, "attribute", [0.0, *GRID, 1.1]).collect()
     assert [sorted((r.rid, r.part) for r in got if r.k == k) for k in range(1, len(GRID) + 2)] == [*parts, []]
+    own = records.select("rid", F.when(F.col("rid") % 9 > 0, F.concat(F.lit("o"), F.col("rid") % 2)).alias(S.OWNER), "n_known_attributes")
+    edges = matching.build_graph(want, GRID[2], "attribute").localCheckpoint()
+    sizes = lambda c: sorted(map(tuple, c.select("size", "is_cross_cpse").collect()))
+    assert sizes(matching.cluster_sizes(edges, own)) == sizes(matching.cluster(edges, own)[0])
 
 
 @pytest.fixture(scope="module")
@@ -60,7 +64,7 @@ def large(spark, tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["cluster_edge_sweep"])
+@pytest.mark.parametrize("name", ["cluster_edge_sweep", "dashboard_savings"])
 def test_query_over_a_large_block(spark, large, name):
     con = duckdb.connect()
     con.sql(f"create view part as select * from '{large}/part.parquet/*.parquet'")
